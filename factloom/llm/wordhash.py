@@ -9,8 +9,11 @@ uses the hashes counts or aligns words, so one would cost a slightly wrong score
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -107,6 +110,16 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return first, np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes of text, at least a row each, so that long texts don't add up."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    piece = np.cumsum(lengths) // most
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, from the hashes of the words; the caller leaves out those across texts."""
     if len(hashes) < n:
