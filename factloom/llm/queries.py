@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, line_dedup, sharding, simhash
+from factloom.llm import arrow_tokens, decontaminate, line_dedup, sharding, simhash
 from factloom.llm.common import documents
 
 
@@ -41,6 +42,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_tokens.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
+    "op7_token_files": op7_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,

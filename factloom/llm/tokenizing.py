@@ -47,6 +47,7 @@ class WordCachedTokenizer:
         else:
             self.split = None
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.kept: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
