@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import arrow_tokens, decontaminate, line_dedup, sharding, simhash
+from factloom.llm import arrow_tokens, decontaminate, line_dedup, packing, sharding, simhash
 from factloom.llm.common import documents
 
 
@@ -42,6 +42,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -60,6 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_sharding": op9_sharding,
