@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import arrow_tokens, decontaminate, line_dedup, packing, sharding, simhash
+from factloom.llm import arrow_tokens, decontaminate, line_dedup, packing, sharding, simhash, toxicity
 from factloom.llm.common import documents
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -63,6 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,

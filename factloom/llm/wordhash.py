@@ -74,8 +74,8 @@ def _string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ends, raw
 
 
-def _hash_run(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start byte, hash) of each word of a run; text ends are marked by a byte that is no word's."""
+def _hash_run(raw: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(start byte, hashes) of each word of a run, a column for the word and one for each prefix; text ends are marked by a byte that is no word's."""
     folded = _FOLD[raw]
     inside = np.empty(len(raw) + 2, bool)
     inside[0] = inside[-1] = False
@@ -86,11 +86,23 @@ def _hash_run(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(folded.astype(np.uint64) * up[:len(raw)], out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    out = np.zeros((len(start), 1 + len(prefixes)), np.uint64)
+    out[:, 0] = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for k, n in enumerate(prefixes, 1):
+        longer = np.flatnonzero(end - start > n)
+        begin = start[longer]
+        out[longer, k] = mix((total[begin + n] - total[begin]) * down[begin] + np.uint64(n << 32))
+    return start, out
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(first, hashes): the words of text i are hashes[first[i]:first[i + 1]], in order. A null has none."""
+    first, hashes = hashed_prefixes(texts, ())
+    return first, np.ascontiguousarray(hashes[:, 0])
+
+
+def hashed_prefixes(texts: pa.Array, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """As hashed_words, with a further column for each length in bytes: the hash of a longer word's prefix, else 0."""
     ends, raw = _string_buffers(texts)
     n = len(texts)
     first, parts, have, i = np.zeros(n + 1, np.int64), [], 0, 0
@@ -102,12 +114,12 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         stops = np.cumsum(lengths + 1) - 1
         keep[stops] = False
         run[keep] = raw[ends[i]:ends[j]]
-        start, hashes = _hash_run(run)
+        start, hashes = _hash_run(run, prefixes)
         first[i + 1:j + 1] = have + np.searchsorted(start, stops, "right")
         parts.append(hashes)
         have += len(hashes)
         i = j
-    return first, np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return first, np.concatenate(parts) if parts else np.empty((0, 1 + len(prefixes)), np.uint64)
 
 
 def text_slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
