@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import arrow_tokens, decontaminate, line_dedup, packing, sharding, simhash, toxicity
+from factloom.llm import arrow_tokens, decontaminate, flac, line_dedup, packing, sharding, simhash, toxicity
 from factloom.llm.common import documents
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.payload_digests(flac.texts_to_flac(documents(spark, sf_dir)))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score_toxicity(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
@@ -68,6 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac_media": op1_flac_media,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
