@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import arrow_tokens, chat, decontaminate, flac, line_dedup, packing, sharding, simhash, toxicity
+from factloom.llm import arrow_tokens, chat, decontaminate, flac, licenses, line_dedup, packing, sharding, simhash, toxicity
 from factloom.llm.common import documents
 
 
@@ -78,6 +78,46 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def _op5_sql() -> str:
+    """Phrases and templates by brute force: every place of every phrase, every line against every template."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    strip = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = ", ".join(f"({q(p)}, {q(label)})" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({k}, {q(label)}, {q(t.lower())})" for k, (label, t) in enumerate(licenses.TEMPLATES))
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH low AS (SELECT doc_id, {low.format("coalesce(text, '')")} AS t FROM documents),
+worded AS (
+    SELECT doc_id, t, [x for x in string_split(regexp_replace(t, '{strip}', ' ', 'g'), ' ') if x <> ''] AS w FROM low
+), places AS (
+    SELECT doc_id, p.label, i - 1 AS pos
+    FROM worded, (VALUES {phrases}) p(phrase, label), unnest(range(1, len(w) + 1)) AS u(i)
+    WHERE contains(regexp_replace(t, '{strip}', ' ', 'g'), p.phrase)
+      AND array_to_string(w[i:i + len(string_split(p.phrase, ' ')) - 1], ' ') = p.phrase
+), base AS (
+    SELECT doc_id, count(*) AS n, min(pos) AS f, max(pos) AS l, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, list_distinct([x for x in string_split(regexp_replace(line, '{strip}', ' ', 'g'), ' ') if x <> '']) AS w
+    FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low)
+), templates AS (
+    SELECT k, label, list_distinct([x for x in string_split(regexp_replace(t, '{strip}', ' ', 'g'), ' ') if x <> '']) AS w
+    FROM (VALUES {templates}) x(k, label, t)
+), held AS (
+    SELECT doc_id, label, len(list_intersect(l.w, t.w))::DOUBLE / len(t.w) AS c FROM lines l, templates t
+    WHERE len(list_intersect(l.w, t.w)) >= ceil({licenses.THRESHOLD} * len(t.w) - 1e-9)
+), method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM held GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.f::BIGINT AS first_word, b.l::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(m.best, 0.0) END::DOUBLE AS score
+FROM worded LEFT JOIN base b USING (doc_id) LEFT JOIN method m USING (doc_id)
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -103,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_files": op7_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
@@ -110,4 +151,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_license_scan": _op5_sql()}
