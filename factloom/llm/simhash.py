@@ -184,3 +184,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(by_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group: that of the smallest id. Rows with a null id stay unless a group has an id; of rows that repeat the smallest id, one stays."""
+    classes = materialise(near_duplicates(df, id_col, text_col), "classes")
+    keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
+    n, different = keep.agg(F.count("_kept"), F.count_distinct("_kept")).first()
+    kept = df.join(keep.distinct(), df[id_col] == F.col("_kept"), "left_semi")
+    if n > different:  # only then must rows be told apart, which moves the texts
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(df.where(F.col(id_col).isNull()))
