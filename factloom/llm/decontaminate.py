@@ -11,14 +11,16 @@
    with rare seeds and passages with common ones alone are both verified, the
    latter so that a leak into a great many documents isn't lost; what a
    result's rarest seed is worth is returned with it.
-4. Smith-Waterman over words (match 2, mismatch -1, gap -1), divided by twice
+4. Smith-Waterman over words (match 2, mismatch -1, gap -2), divided by twice
    the item's words, is the score; from ``threshold`` on the document holds
    the item.
 
-With a threshold of 0.8 an alignment of L words may lose a fifth: at most
-floor(0.4 L / 3) words changed, so the longest run left of an item of 15 words
-or more has five words. Shorter items use the run length that this bound leaves
-them, so no document at the threshold by substitutions is without a seed.
+With a threshold of 0.8 an alignment of L words may lose 0.4 L of its 2 L points.
+An inserted word breaks a run for 2, a changed or lost one for 3 or 4. Whatever is
+spent on these, some run of the item is left that is no shorter than its words
+over its pieces. Seeds are no longer than the least of that, so no document at the
+threshold is without a seed, and windows of twice the item's length on both sides
+hold the whole alignment.
 """
 
 from __future__ import annotations
@@ -34,15 +36,19 @@ from factloom.llm.common import materialise
 from factloom.llm.wordhash import hashed_words, ngrams, text_slices
 
 SEED_WORDS, THRESHOLD = 5, 0.8
-MATCH, MISMATCH, GAP = 2, -1, -1
+MATCH, MISMATCH, GAP = 2, -1, -2
 #: Bytes of test items that are broadcast at once; more are taken in parts of about this size.
 PART_BYTES = 8 << 20
 
 
 def seed_length(words: int, threshold: float = THRESHOLD) -> int:
-    """The longest run of words that any document at the threshold by substitutions must share, at most SEED_WORDS."""
-    changed = int(MATCH * words * (1 - threshold) / (MATCH - MISMATCH) + 1e-9)
-    return max(1, min(SEED_WORDS, -(-(words - changed) // (changed + 1))))
+    """The longest run of words that any document at the threshold must share with an item, at most SEED_WORDS."""
+    points = MATCH * words * (1 - threshold) + 1e-9
+    shortest = SEED_WORDS
+    for changed in range(int(points / (MATCH - MISMATCH)) + 1):
+        breaks = changed + int((points - (MATCH - MISMATCH) * changed) / -GAP)
+        shortest = min(shortest, -(-(words - changed) // (breaks + 1)))
+    return max(1, shortest)
 
 
 class Items:
@@ -103,8 +109,8 @@ def _passages(items: Items):
         starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) > lengths[item[1:]])])
         ends = np.r_[starts[1:], len(at)]
         k, di = item[starts], d[starts]
-        begin = np.maximum(at[starts] - lengths[k], first[di])
-        stop = np.minimum(at[ends - 1] + lengths[k] + SEED_WORDS, first[di + 1])
+        begin = np.maximum(at[starts] - 2 * lengths[k], first[di])
+        stop = np.minimum(at[ends - 1] + 2 * lengths[k] + SEED_WORDS, first[di + 1])
         return pa.RecordBatch.from_arrays(
             [
                 b.column(0).take(pa.array(di)), pa.array(k.astype(np.int32)),
@@ -203,7 +209,7 @@ def _leaks_of(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
         .groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
     )
     distinct = passages.groupBy("item", "w1", "w2").agg(F.first("words").alias("words"))
-    aligned = distinct.mapInArrow(_aligned(items, threshold), "item int, w1 long, w2 long, score double")
+    aligned = materialise(distinct.mapInArrow(_aligned(items, threshold), "item int, w1 long, w2 long, score double"), "alignments")
     held = passages.join(aligned, ["item", "w1", "w2"]).select("doc_id", "item", "score", F.size("seeds").alias("n_seeds"), "seeds", "w1", "w2")
     rarest = (
         held.select("doc_id", "item", F.explode("seeds").alias("seed")).join(frequency, "seed")
