@@ -5,25 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "folder_profiles"
+from factloom.plans import collection_queries, fact_queries, rule_queries
 
+FLAGSHIP = "rule_first_match"
+_MODULES = (rule_queries, fact_queries, collection_queries)
 
-def folder_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items, bytes and mean text length of each source folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.sum(F.octet_length("text")).alias("n_bytes"),
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"folder_profiles": folder_profiles}
-
-ORACLE_SQL: dict[str, str] = {
-    "folder_profiles": """
-        SELECT source, count(*) AS n_items, sum(octet_length(encode(text)))::BIGINT AS n_bytes
-        FROM documents GROUP BY source
-    """
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
