@@ -79,6 +79,14 @@ def copy_marker(stem: Column) -> Column:
     return F.when(stem.rlike(COPY_WORD), "copy of").when((tail != "") & (stem != tail), tail)
 
 
+# How cameras and phones begin the names they count.
+CAMERA = r"(?i)^(IMG|DSC|DSCN|DSCF|MVI|PXL|VID|GOPR|GX|GH|SAM|PANO)[_-]?\d{3,}"
+
+
+def camera_series(stem: Column) -> Column:
+    return F.nullif(F.upper(F.regexp_extract(stem, CAMERA, 1)), F.lit(""))
+
+
 def sequence(stem: Column) -> Column:
     """struct(prefix, number) of a zero-padded counter of three digits or more at the end; a year is none."""
     number = F.regexp_extract(stem, r"^(.*?)(\d{2,5})$", 2)
@@ -103,11 +111,12 @@ def name_facts(name: Column) -> list[Column]:
     """The columns of all detectors for a file name."""
     ext = F.regexp_extract(name, r"^.+\.([A-Za-z0-9]{1,10})$", 1)
     stem = F.when(ext != "", F.regexp_replace(name, r"\.[A-Za-z0-9]{1,10}$", "")).otherwise(name)
-    date, seq, sub = name_date(plain(stem)), sequence(stem), subtitle(stem, ext)
+    date, sub, camera = name_date(plain(stem)), subtitle(stem, ext), camera_series(stem)
+    seq = F.when(camera.isNull() & capture(stem).isNull() & sub["language"].isNull(), sequence(stem))
     version = F.nullif(F.lower(F.regexp_extract(stem, VERSION_WORD, 1)), F.lit(""))
     litter = is_litter(name)
     return [
-        stem.alias("stem"), F.lower(ext).alias("ext"), date["value"].alias("name_date"), date["confidence"].alias("name_date_confidence"), capture(stem).alias("capture"),
+        stem.alias("stem"), F.lower(ext).alias("ext"), date["value"].alias("name_date"), date["confidence"].alias("name_date_confidence"), capture(stem).alias("capture"), camera.alias("camera_series"),
         litter.alias("litter"), stem.rlike(GENERIC).alias("generic_name"), stem.rlike(HASHED).alias("hash_name"), copy_marker(stem).alias("copy_marker"), stem.rlike(WEB_SIZED).alias("web_sized"),
         version.alias("version_marker"), (stem.contains("%20") | F.upper(stem).contains("%2F")).alias("url_encoded"), seq["prefix"].alias("sequence_prefix"), seq["number"].alias("sequence_number"),
         sub["language"].alias("subtitle_language"), sub["belongs_to"].alias("subtitle_for"),
