@@ -22,8 +22,8 @@ _ODD = re.compile("[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u
 #: The pre-token patterns of the two vocabularies, which their files state; letters are [^\W\d_] within the characters above.
 _BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^{_SPACE}\w]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _WORD_END = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^{_SPACE}\w]|_)+")
-#: Pieces kept by a process before it forgets them all and starts again: about 200 MB.
-MOST_PIECES = 1_000_000
+#: Pieces kept by a process, about 170 MB; beyond them it forgets the later half, as frequent pieces come early.
+MOST_PIECES = 600_000
 PIECES_A_CALL = 1000
 #: Characters of text that are split at a time.
 CHARS_A_TIME = 1_000_000
@@ -74,8 +74,9 @@ class WordCachedTokenizer:
         new = {w for words in split if words for w in words}.difference(kept)
         if new:
             if len(kept) + len(new) > MOST_PIECES:
-                kept.clear()
-                new = {w for words in split if words for w in words}
+                for w in list(kept)[MOST_PIECES // 2:]:
+                    del kept[w]
+                new = {w for words in split if words for w in words}.difference(kept)
             self._learn(list(new))
         return [self._whole(x) if words is None else b"".join([kept[w] for w in words]) for x, words in zip(texts, split)]
 

@@ -58,7 +58,7 @@ def _document_terms(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic, clean): documents of each kind that hold a term, for each slice of the examples."""
     for batch in batches:
-        for b in text_slices(batch, 0, 4 << 20):
+        for b in text_slices(batch, 0, 2 << 20):
             rows, terms = _document_terms(b, 0)
             order = np.lexsort((rows, terms))
             rows, terms = rows[order], terms[order]
@@ -79,7 +79,7 @@ def _vectors(vocabulary: np.ndarray):
     """For each row its id, the vocabulary terms it holds and how often; vocabulary is sorted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in text_slices(batch, 1, 4 << 20):
+            for b in text_slices(batch, 1, 2 << 20):
                 rows, terms = _document_terms(b, 1)
                 at = np.searchsorted(vocabulary, terms)
                 hit = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == terms) if len(vocabulary) else []
