@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import string
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +42,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; what lies there goes when the application ends, as results may read it until then."""
+    _scratch.append(f"{scratch_root(spark)}/factloom/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def _delete(context: SparkContext, folder: str) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clear_scratch() -> None:
+    context = SparkContext._active_spark_context
+    for folder in _scratch if context else ():
+        try:
+            _delete(context, folder)
+        except (Py4JError, OSError):  # the JVM is gone; the folder's owner sweeps what is left
+            return
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -53,9 +76,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialise`` that nothing will read again."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession.sparkContext, folder)
