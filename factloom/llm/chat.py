@@ -9,11 +9,11 @@ Every assistant turn is an example of its own: the formatted conversation up to
 the end of that turn, with only that turn's body trainable. Since each
 example is a prefix of one string, the string is kept once, in segments of a
 turn each with their places in it, and an example is its end and the span of its
-reply. That is linear in the conversation, however many replies it has;
-``example_texts`` writes the examples out in full where that is wanted.
+reply. ``example_texts`` and ``expand`` write the examples out in full, which grows
+with the square of the replies; digests are read back from these texts.
 
 Conversations are dealt by id and sorted by turn; a task passes over its turns
-one by one, so no conversation is ever held whole.
+one by one; where examples are written out, one example at a time is held.
 """
 
 from __future__ import annotations
@@ -132,6 +132,36 @@ def example_texts(segments: DataFrame) -> DataFrame:
     return segments.mapInArrow(_texts, "conv_id long, example long, text string, loss_start long, loss_end long")
 
 
+EXPANDED = "conv_id long, example long, text string, loss_start long, loss_end long, last boolean"
+
+
+def _expanding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    conv: object = ()
+    parts: list[str] = []
+
+    def row(*values: object) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["conv_id", "example", "text", "loss_start", "loss_end", "last"])
+
+    for b in batches:
+        for conv_id, segment, example, lo, hi in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "segment", "example", "body_start", "body_end"))):
+            if conv_id != conv:
+                if parts:
+                    yield row(conv, None, "".join(parts), None, None, True)
+                conv, parts = conv_id, []
+            parts.append(segment)
+            if example is not None:
+                parts = ["".join(parts)]
+                yield row(conv_id, example, parts[0], lo, hi, False)
+    if parts:
+        yield row(conv, None, "".join(parts), None, None, True)
+
+
+def expand(segments: DataFrame) -> DataFrame:
+    """The examples of ``example_texts``, in order, and behind those of each conversation a row without a target: its whole text, ``last``."""
+    return segments.mapInArrow(_expanding, EXPANDED)
+
+
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
 
@@ -140,12 +170,7 @@ def _digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
         ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64()),
     ])
-    conv, state, done = (), None, []
-
-    def close() -> None:
-        if state:
-            turns, loss, n, chars, formatted, replies = state
-            done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, replies))
+    done, loss, chars, replies, before = [], hashlib.sha256(), 0, 0, []
 
     def flush() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
@@ -153,27 +178,34 @@ def _digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        columns = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "segment", "start", "body_start", "body_end", "example"))
-        for conv_id, segment, start, lo, hi, example in zip(*columns):
-            if state is None or conv_id != conv:
-                close()
-                conv, state = conv_id, [hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0]
-            for role, text in parse(segment):
-                state[0].update(f"{role}\n{text}\n".encode())
-                state[2] += 1
-            if example is not None:
-                reply = unescape(segment[lo - start:hi - start])
-                state[1].update(reply.encode())
-                state[3] += len(reply)
-                state[5] += 1
-            state[4] += len(segment)
+        for conv_id, example, text, lo, hi, last in zip(*(c.to_pylist() for c in b.columns)):
+            turns = parse(text)  # of the example itself, context and all
+            if turns[:len(before)] != before:
+                raise ValueError(f"example {example} of conversation {conv_id} doesn't go on from the one before")
+            before = turns
+            if not last:
+                reply = unescape(text[lo:hi])
+                if example != replies or turns[-1] != (TARGET_ROLE, reply) or text[hi:] != CLOSE + "\n" or sum(role == TARGET_ROLE for role, _ in turns) != example + 1:
+                    raise ValueError(f"example {example} of conversation {conv_id} has other than its own reply under the mask")
+                loss.update(reply.encode())
+                chars, replies = chars + len(reply), replies + 1
+                continue
+            digest = hashlib.sha256()
+            for role, said in turns:
+                digest.update(f"{role}\n{said}\n".encode())
+            done.append((conv_id, len(turns), digest.hexdigest(), chars, loss.hexdigest(), len(text), replies))
+            loss, chars, replies, before = hashlib.sha256(), 0, 0, []
         if len(done) >= 5000:
             yield flush()
-    close()
     if done:
         yield flush()
 
 
+def example_digests(expanded: DataFrame) -> DataFrame:
+    """What expanded conversations hold, read back from each example's own text and loss span."""
+    return expanded.mapInArrow(_digesting, DIGESTS)
+
+
 def conversation_digests(segments: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, read back from their segments and loss spans alone."""
-    return segments.mapInArrow(_digesting, DIGESTS)
+    """The digests of all conversations, from their examples written out in full."""
+    return example_digests(expand(segments))
