@@ -7,7 +7,12 @@ many lines of the whole corpus hold them, rarest first; a line that reaches the
 threshold must hold one of a template's first |T| - a + 1 tokens, where a is the
 number needed, must have a of the templates' tokens at all (length), and from
 the place of the first shared token on enough must be left on both sides
-(position). Only lines that pass are compared whole. The templates are a fixed
+(position). Only lines that pass are compared whole.
+
+A license that is wrapped over lines is found in windows of a text's words, whatever
+its lines: each place of a prefix token is a candidate, the words around it
+must hold enough of the template, and then every window around the place that is as long
+as the template may be with a fifth of other words in it is compared. The templates are a fixed
 list, so their tokens and prefixes, some hundreds of rows, are what is broadcast.
 """
 
@@ -83,7 +88,10 @@ def base_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phr
 
 
 def template_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, label, template, containment, block): every line that holds the threshold of a template's distinct words."""
+    """(doc_id, label, template, containment, block): every line that holds the threshold of a template's distinct words.
+
+    Rows without a block are windows over lines; of these each place that reaches the threshold has one with its best.
+    """
     spark = df.sparkSession
     tokens = [_template_words(t) for _, t in templates]
     vocabulary = sorted({w for t in tokens for w in t})
@@ -108,10 +116,23 @@ def template_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (F.size("held") >= F.col("need")) & (F.least(F.col("size") - F.col("at"), F.size("held") - F.col("place")) >= F.col("need"))
     )
     shared = F.size(F.array_intersect("held", "ranks"))
-    return (
+    found = (
         joined.where(shared >= F.col("need"))
         .select("doc_id", "block", "label", "template", (shared / F.col("size")).alias("containment")).distinct()
     )
+    spread = [math.ceil(len([w for w in re.split(NOT_WORD, t.lower()) if w]) / threshold - 1e-9) for _, t in templates]
+    wide = [(w, k, label, size, need_k, spread[k], tokens[k]) for w, k, label, _, size, need_k, _ in rows]
+    seeds = spark.createDataFrame(wide, "token string, template int, label string, size int, need int, spread int, own array<string>")
+    words = df.select(F.col(id_col).alias("doc_id"), words_of(ascii_lower(whole_text(text_col))).alias("_words"))
+    at = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("token"), i.alias("at"))), lambda x: x["token"].isin(first))
+    places = words.where(F.exists("_words", lambda w: w.isin(first))).select("doc_id", "_words", F.inline(at)).join(F.broadcast(seeds), "token")
+    begin = F.greatest(F.col("at") - F.col("spread") + 1, F.lit(0))
+    around = places.select("doc_id", "template", "label", "size", "need", "spread", "own", F.slice("_words", begin + 1, F.col("at") + F.col("spread") - begin).alias("_near"))
+    around = around.where(F.size(F.array_intersect("_near", "own")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_near") - F.col("spread") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("_near", i, F.col("spread")), "own"))))
+    windows = around.withColumn("_best", best).where(F.col("_best") >= F.col("need"))
+    return found.unionByName(windows.select("doc_id", F.lit(None).cast("int").alias("block"), "label", "template", (F.col("_best") / F.col("size")).alias("containment")))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
