@@ -45,7 +45,7 @@ FROM measured GROUP BY conv_id
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score_toxicity(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

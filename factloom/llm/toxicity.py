@@ -1,23 +1,27 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and prefixes of longer words (A-Z lower-cased), as hashes. The
-vocabulary holds the terms that go with the label beyond chance: a likelihood
-ratio test over the labelled sample, at a level corrected for the number of
-terms tested, which leaves out what names or topics happen to share. A
-document's vector has (1 + ln tf) * idf for each vocabulary term of its whole
-text; document frequencies count all documents. The index holds the labelled
-examples' vectors in blocks; for a query each block's best possible cosine is
-bounded by its terms' largest weights, blocks are scored from the best bound
-down, and none is skipped that could still hold one of the k nearest.
+The labelled examples' words (A-Z lower-cased), all of them, are the vocabulary, as
+hashes; so are those prefixes of longer words that go with the label beyond chance,
+by a likelihood ratio test at a level corrected for the number of terms tested.
+A document's vector has (1 + ln tf) * idf for each vocabulary term of its whole
+text; document frequencies count all documents. A term that passes the
+test weighs ``LEAN`` times as much, so that a few words of abuse in a long text bear on
+who its neighbours are; every other term keeps its weight, so every text that
+shares a word with any example has neighbours.
+
+The index holds the examples' postings in blocks of similar examples. For a query, the
+best possible cosine of each block is bounded by its terms' largest weights there; blocks
+are scored from the best bound down, and none is skipped that could still hold one of
+the k nearest. Examples tied with the k-th count as well, so ids decide nothing.
 
 A score is the neighbours' labels weighted by closeness, calibrated by an isotonic
 fit of the same vote for each example among the others. A text without a
 vocabulary term has cosine 0 with every example; its score is the rate of the
-label among the examples like it.
+label among the examples.
 
-Labels are learnt from a bounded sample (``MOST_EXAMPLES``, those whose ids have
-the smallest hashes), so the index doesn't grow with the corpus and is small
-enough to go to every executor; all documents are counted and scored.
+Labels are learnt from a bounded sample (``MOST_EXAMPLES`` of the smallest hashes of
+ids, whole texts of ``MOST_BYTES`` together), so vocabulary and index don't grow with the
+corpus and are small enough to go to every executor; all documents are counted and scored.
 """
 
 from __future__ import annotations
@@ -27,20 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from factloom.llm.common import materialise
 from factloom.llm.wordhash import hashed_prefixes, text_slices
 
-#: Labelled examples learnt from, and terms kept, at most; both bound what is broadcast.
-MOST_EXAMPLES, MOST_TERMS = 16_384, 4096
+#: Labelled examples learnt from, and bytes of their texts, at most; both bound what is broadcast.
+MOST_EXAMPLES, MOST_BYTES = 4096, 64 << 20
 PREFIXES = (4, 5, 6, 7)
-NEIGHBOURS, BLOCK = 5, 64
-LEVEL = 0.01
+NEIGHBOURS, BLOCK = 5, 128
+LEVEL, LEAN = 0.01, 40.0
 FOLDS, HELD_OUT = 5, 0
 #: Added to a distance before it divides a vote.
 NEAR = 0.05
+#: (row, term) entries of queries that are searched at once.
+ENTRIES = 60_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -48,22 +56,18 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _document_terms(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of each word and prefix, 0 for none."""
-    first, hashes = hashed_prefixes(batch.column(column), PREFIXES)
-    rows = np.repeat(np.arange(batch.num_rows), np.diff(first))
-    return np.repeat(rows, hashes.shape[1]), hashes.reshape(-1)
-
-
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, clean): documents of each kind that hold a term, for each slice of the examples."""
+    """(term, whole, toxic, clean): examples of each kind that hold a word or a prefix, for each slice of rows (text, y)."""
     for batch in batches:
         for b in text_slices(batch, 0, 2 << 20):
-            rows, terms = _document_terms(b, 0)
+            first, hashes = hashed_prefixes(b.column(0), PREFIXES)
+            rows = np.repeat(np.repeat(np.arange(b.num_rows), np.diff(first)), hashes.shape[1])
+            whole = np.tile(np.arange(hashes.shape[1]) == 0, len(hashes))
+            terms = hashes.reshape(-1)
             order = np.lexsort((rows, terms))
-            rows, terms = rows[order], terms[order]
+            rows, terms, whole = rows[order], terms[order], whole[order]
             new = np.r_[True, (terms[1:] != terms[:-1]) | (rows[1:] != rows[:-1])][: len(terms)] & (terms != 0)
-            rows, terms = rows[new], terms[new]
+            rows, terms, whole = rows[new], terms[new], whole[new]
             if not len(terms):
                 continue
             toxic = np.asarray(b.column(1))[rows] == 1
@@ -71,25 +75,39 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = np.add.reduceat(toxic.astype(np.int64), starts)
             n = np.diff(np.r_[starts, len(terms)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms[starts].view(np.int64)), pa.array(a), pa.array(n - a)], names=["term", "toxic", "clean"]
+                [pa.array(terms[starts].view(np.int64)), pa.array(whole[starts]), pa.array(a), pa.array(n - a)],
+                names=["term", "whole", "toxic", "clean"],
             )
 
 
-def _vectors(vocabulary: np.ndarray):
-    """For each row its id, the vocabulary terms it holds and how often; vocabulary is sorted."""
+def _hits(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in hashes, places in the sorted vocabulary) of those hashes that it holds."""
+    if not len(vocabulary):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    hit = np.flatnonzero(vocabulary[at] == hashes)
+    return hit, at[hit]
+
+
+def _vectors(shared: Broadcast):
+    """For each row of (id, text) the vocabulary terms it holds and how often; words are numbered first, then prefixes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, prefixes = shared.value
+        size = max(1, len(words) + len(prefixes))
         for batch in batches:
             for b in text_slices(batch, 1, 2 << 20):
-                rows, terms = _document_terms(b, 1)
-                at = np.searchsorted(vocabulary, terms)
-                hit = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == terms) if len(vocabulary) else []
-                key, counts = np.unique(rows[hit] * max(1, len(vocabulary)) + at[hit], return_counts=True)
-                row, term = np.divmod(key, max(1, len(vocabulary)))
+                first, hashes = hashed_prefixes(b.column(1), PREFIXES if len(prefixes) else ())
+                rows = np.repeat(np.arange(b.num_rows), np.diff(first))
+                hit, at = _hits(words, np.ascontiguousarray(hashes[:, 0]))
+                keys = [rows[hit] * size + at]
+                for k in range(1, hashes.shape[1]):
+                    hit, at = _hits(prefixes, np.ascontiguousarray(hashes[:, k]))
+                    keys.append(rows[hit] * size + len(words) + at)
+                key, counts = np.unique(np.concatenate(keys), return_counts=True)
+                row, term = np.divmod(key, size)
                 ends = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))],
-                    names=["doc_id", "terms", "counts"],
-                )
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, counts))
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "terms", "counts"])
 
     return run
 
@@ -111,92 +129,181 @@ def _likelihood_ratio(toxic: int, clean: int) -> Column:
     return 2 * (part(a, held * n1 / n) + part(c, held * n0 / n) + part(n1 - a, (n - held) * n1 / n) + part(n0 - c, (n - held) * n0 / n))
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each stretch, one stretch after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class BlockMaxIndex:
     """Exact nearest neighbours among unit vectors given as (terms, weights), by blocks of examples.
 
-    Postings lie by term, then example. For each term and block there are the
-    place of its postings and their largest weight, so a query's bounds of all blocks are
-    one product, and the postings of several blocks are gathered at once.
+    Postings lie by term, then example. For each term and block there are the place of its
+    postings and their largest weight. A group of queries is searched in step: in
+    each round every query scores the block with its next best bound, until none is left that
+    could change its result.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.n_blocks = -(-self.n // block)
+        self.n, self.block, self.n_terms = len(vectors), block, n_terms
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         order = np.lexsort((example, term))
-        term, self.weight, self.example = term[order], weight[order], example[order]
-        cell = term * self.n_blocks + self.example // block
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
-        self.place = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the blocks' examples that share a term."""
-        cells = (terms[:, None] * self.n_blocks + blocks).reshape(-1)
-        start = self.place[cells]
+        self.term, self.weight, self.example = term[order].astype(np.int32), weight[order], example[order].astype(np.int32)
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        self.n_blocks = max(1, -(-self.n // self.block))
+        cell = self.term.astype(np.int64) * self.n_blocks + self.example // self.block
+        self.most = np.zeros((self.n_terms, self.n_blocks), np.float32)
+        np.maximum.at(self.most.reshape(-1), cell, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
+        self.place = np.zeros(self.n_terms * self.n_blocks + 1, np.int32)
+        np.cumsum(np.bincount(cell, minlength=self.n_terms * self.n_blocks), out=self.place[1:])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("most", "place")}  # made again where it arrives
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_out()
+
+    def _round(self, terms: np.ndarray, weights: np.ndarray, row: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+        """Cosines (queries x examples of the block) of n queries' entries, each with the block its query scores."""
+        cells = terms * self.n_blocks + block
+        start = self.place[cells].astype(np.int64)
         size = self.place[cells + 1] - start
-        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        slot = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), size) * self.block + self.example[at] % self.block
-        sums = np.bincount(slot, np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at], len(blocks) * self.block)
-        hit = np.flatnonzero(sums)
-        return blocks[hit // self.block] * self.block + hit % self.block, np.round(sums[hit], 12)
+        some = np.flatnonzero(size)
+        start, size = start[some], size[some]
+        at = _spread(start, size)
+        slot = np.repeat(row[some] * self.block, size) + self.example[at] % self.block
+        sums = np.bincount(slot, np.repeat(weights[some], size) * self.weight[at], n * self.block)
+        return np.round(sums, 12).reshape(n, self.block)
+
+    def search(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, entries ends[i] to ends[i + 1], the (examples, cosines) of all whose cosine is above 0 and at
+        least the k-th best; ``skip`` names an example that a query leaves out. Best first, ties by example."""
+        total = len(ends) - 1
+        nothing = (np.empty(0, np.int64), np.empty(0))
+        out = [nothing] * total
+        sizes = np.diff(ends)
+        asked = np.flatnonzero(sizes)
+        if not self.n or not len(asked):
+            return out
+        groups = np.cumsum(sizes[asked]) // ENTRIES
+        for own in np.split(asked, np.flatnonzero(np.diff(groups)) + 1):
+            found = self._search(ends[own].astype(np.int64), sizes[own].astype(np.int64), terms, weights, k, None if skip is None else skip[own])
+            for i, x in zip(own.tolist(), found):
+                out[i] = x
+        return out
+
+    def _search(self, begin, sizes, terms, weights, k, skip) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = len(sizes)
+        at = _spread(begin, sizes)
+        term, weight = terms[at].astype(np.int64), weights[at]
+        first = np.cumsum(sizes) - sizes
+        bound = np.add.reduceat(weight[:, None] * self.most[term], first, axis=0)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        top, kept = np.zeros((n, k)), []
+        active = np.arange(n)
+        for step in range(self.n_blocks):
+            block = order[active, step]
+            best = bound[active, block]
+            on = (best > 0) & (best >= top[active, 0] - 1e-9)
+            active, block = active[on], block[on]
+            if not len(active):
+                break
+            entry = _spread(first[active], sizes[active])
+            row = np.repeat(np.arange(len(active)), sizes[active])
+            sums = self._round(term[entry], weight[entry], row, np.repeat(block, sizes[active]), len(active))
+            if skip is not None:
+                own = np.flatnonzero((skip[active] >= 0) & (skip[active] // self.block == block))
+                sums[own, skip[active][own] % self.block] = 0
+            top[active] = np.partition(np.concatenate([top[active], sums], 1), self.block, axis=1)[:, self.block:]
+            low = top[active].min(1)
+            top[active] = np.sort(top[active], axis=1)  # the k-th best stands first
+            i, j = np.nonzero((sums > 0) & (sums >= low[:, None]))
+            kept.append((active[i], block[i] * self.block + j, sums[i, j]))
+        query, example, score = (np.concatenate(x) for x in zip(*kept)) if kept else (np.empty(0, np.int64),) * 3
+        keep = score >= top[query, 0]
+        query, example, score = query[keep], example[keep], score[keep]
+        by = np.lexsort((example, -score, query))
+        query, example, score = query[by], example[by], score[by]
+        cuts = np.searchsorted(query, np.arange(n + 1))
+        return [(example[x:y], score[x:y]) for x, y in zip(cuts, cuts[1:])]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k best (cosine, example) with a cosine above 0, best first, ties by example; skip is left out."""
-        if not self.n or not len(terms):
-            return []
-        terms = terms.astype(np.int64)
-        bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, scores = np.empty(0, np.int64), np.empty(0)
-        done, more = 0, 2
-        while done < len(order) and (len(best) < k or bound[order[done]] >= scores[-1] - 1e-9):
-            found, values = self._scores(terms, weights, order[done:done + more])
-            keep = found != skip
-            best, scores = np.concatenate([best, found[keep]]), np.concatenate([scores, values[keep]])
-            first = np.lexsort((best, -scores))[:k]
-            best, scores = best[first], scores[first]
-            done, more = done + more, 2 * more
-        return list(zip(scores.tolist(), best.tolist()))
+        """The k best (cosine, example) of one query, best first, ties by example."""
+        (found, scores), = self.search(np.array([0, len(terms)]), np.asarray(terms), np.asarray(weights), k, np.array([skip]))
+        return list(zip(scores.tolist(), found.tolist()))[:k]
+
+
+def _by_likeness(vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, clusters: int, dimensions: int = 256, rounds: int = 8) -> np.ndarray:
+    """An order of vectors in which like ones stand together, by spherical k-means over the heaviest terms; it bears on the cost alone."""
+    if not vectors:
+        return np.empty(0, np.int64)
+    term, weight = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+    row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+    mass = np.bincount(term, weight * weight, n_terms)
+    heavy = np.sort(np.argsort(-mass, kind="stable")[:dimensions])
+    hit, at = _hits(heavy, term)
+    x = np.zeros((len(vectors), len(heavy)))
+    x[row[hit], at] = weight[hit]
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    centres = x[np.linspace(0, len(x) - 1, min(clusters, len(x))).astype(int)]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        length = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
+    return np.lexsort((np.arange(len(x)), (x @ centres.T).argmax(1)))
 
 
 class Scorer:
-    """What goes to the executors: inverse document frequencies, the index, labels and the calibration."""
-
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS):
-        """examples: (doc_id, terms, counts, label); those without terms only count for the rate."""
-        self.idf, self.k = idf, k
-        bare = [y for _, t, _, y in examples if not len(t)]
-        everywhere = [y for *_, y in examples]
-        overall = (sum(everywhere) + 1) / (len(everywhere) + 4)
-        self.rate = (sum(bare) + overall) / (len(bare) + 1)
-        full = [(self._unit(t, c), i, y) for i, t, c, y in examples if len(t)]
-        full.sort(key=lambda x: (int(x[0][0][np.argmax(x[0][1])]), x[1]))  # examples with one strongest term share blocks
-        self.ids, self.labels = [i for _, i, _ in full], np.array([y for *_, y in full], float)
-        self.index = BlockMaxIndex([v for v, *_ in full], len(idf))
-        votes = [(self._vote(self.index.nearest(*v, self.k, skip=j)), y) for j, (v, _, y) in enumerate(full)]
-        self.steps = isotonic([(v, y) for v, y in votes if v is not None])
+    """What goes to the executors: term weights, the index, labels and, once fitted, the calibration."""
+
+    def __init__(self, weight_of: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS):
+        """examples: (key, doc_id, terms, counts, label); those without terms only count for the rate."""
+        self.weight_of, self.k = weight_of, k
+        labels = [y for *_, y in examples]
+        self.rate = (sum(labels) + 1) / (len(labels) + 4)
+        full = [(key, i, self._unit(t, c), y) for key, i, t, c, y in examples if len(t)]
+        likely = _by_likeness([v for _, _, v, _ in full], len(weight_of), max(1, len(full) // BLOCK))
+        full = [full[j] for j in likely]
+        self.place_of = {key: j for j, (key, *_) in enumerate(full)}
+        self.ids, self.labels = [i for _, i, _, _ in full], np.array([y for *_, y in full], float)
+        self.index = BlockMaxIndex([v for _, _, v, _ in full], len(weight_of))
+        self.steps = isotonic([])
 
     def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.weight_of[terms]
         return terms, w / math.sqrt(float((w * w).sum()))
 
-    def _vote(self, found: list[tuple[float, int]]) -> float | None:
-        if not found:
+    def neighbours(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, keys: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of each row of vectors; ``keys`` names the examples that the rows are themselves, which are left out."""
+        w = (1 + np.log(counts)) * self.weight_of[terms]
+        sizes = np.diff(ends)
+        length = np.ones(len(sizes))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            length[some] = np.sqrt(np.add.reduceat(w * w, ends[some]))
+        own = None if keys is None else np.array([self.place_of.get(x, -1) for x in keys], np.int64)
+        return self.index.search(ends, terms, w / np.repeat(length, sizes), self.k, own)
+
+    def vote(self, found: tuple[np.ndarray, np.ndarray]) -> float | None:
+        """The neighbours' mean label, the closer the heavier."""
+        examples, cosines = found
+        if not len(examples):
             return None
-        w = np.array([1 / (max(0.0, 1 - s) + NEAR) for s, _ in found])
-        return float((w * self.labels[[i for _, i in found]]).sum() / w.sum())
+        w = 1 / (np.maximum(0.0, 1 - cosines) + NEAR)
+        return float((w * self.labels[examples]).sum() / w.sum())
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
-        found = self.index.nearest(*self._unit(terms, counts), self.k) if len(terms) else []
-        vote = self._vote(found)
+    def score(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[dict]]:
+        vote = self.vote(found)
         if vote is None:
             return self.rate, []
         value = float(np.interp(vote, *self.steps)) if len(self.steps[0]) else vote
-        return value, [{"doc_id": self.ids[i], "cosine": s, "label": int(self.labels[i])} for s, i in found]
+        return value, [{"doc_id": self.ids[i], "cosine": s, "label": int(self.labels[i])} for i, s in zip(found[0].tolist(), found[1].tolist())]
 
 
 def isotonic(pairs: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,75 +322,102 @@ def isotonic(pairs: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
 EVIDENCE = "array<struct<doc_id:long,cosine:double,label:int>>"
 
 
-def _scoring(scorer: Scorer):
+def _rows_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, terms, counts) of a batch's second and third column."""
+    lists = b.column(1)
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    x, y = int(ends[0]), int(ends[-1])
+    return ends - x, np.asarray(lists.values)[x:y], np.asarray(b.column(2).values)[x:y]
+
+
+def _scoring(shared: Broadcast):
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[float, list[dict]]] = {}
+        scorer = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                b = batch.slice(lo, 1000)
+                scores, evidence = zip(*map(scorer.score, scorer.neighbours(*_rows_of(b))))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"]
+                )
+
+    return run
+
+
+def _voting(shared: Broadcast):
+    """(vote, y) of the examples (key, terms, counts, y), each among the others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value
         for b in batches:
-            scores, evidence = [], []
-            ends, terms, counts = b.column(1).offsets.to_pylist(), np.asarray(b.column(1).values), np.asarray(b.column(2).values)
-            for x, y in zip(ends, ends[1:]):
-                t, c = terms[x:y], counts[x:y]
-                key = t.tobytes() + c.tobytes()
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = scorer.score(t, c)
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            votes = [scorer.vote(x) for x in scorer.neighbours(*_rows_of(b), keys=b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(3)], names=["vote", "y"])
 
     return run
 
 
+def _sample(labels: DataFrame, source: DataFrame) -> DataFrame:
+    """(key, doc_id, text, y) of the examples: distinct texts, ``key`` is their hash."""
+    given = labels.where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    ids = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES)
+    texts = source.where("text is not null").join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("y").alias("y"))
+    texts = materialise(texts, "labelled")
+    so_far = F.sum(F.octet_length("text")).over(W.orderBy(F.xxhash64("doc_id"), "key").rowsBetween(W.unboundedPreceding, 0))
+    within = texts.select("key", so_far.alias("bytes")).where(F.col("bytes") <= MOST_BYTES).select("key")
+    return texts.join(F.broadcast(within), "key", "left_semi").select("key", "doc_id", "text", F.when(F.col("y") == 1, 1).otherwise(0).alias("y"))
+
+
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                    learn_from: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of each row, from its whole text alone.
 
-    ``learn_from`` has the labelled documents' texts where those aren't in ``df``
-    (default: ``df``). Null texts count as empty; null ids are scored. Labels with a
-    null id or label are left out, and of several for one id the highest counts, as it
-    does for equal texts, which are one example. Without any labels every score
-    is 1/4, so nothing is rejected. Other columns aren't read.
+    ``evidence`` has the neighbours that voted, nearest first. ``learn_from`` has
+    the labelled documents' texts where those aren't in ``df`` (default: ``df``).
+    Null texts count as empty; null ids are scored. Labels with a null id or
+    label are left out, and of several for one id the highest counts, as it does
+    for equal texts, which are one example. Equal texts have equal scores.
+    Without any labels every score is 1/4, so nothing is rejected. Other columns
+    aren't read.
     """
     spark = df.sparkSession
+    context = spark.sparkContext
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     source = docs if learn_from is None else learn_from.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    given = given.where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES)
-    examples = source.where("text is not null").join(F.broadcast(sample), "doc_id")
-    examples = examples.groupBy(F.xxhash64("text").alias("_h")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("y").alias("y"))
-    examples = materialise(examples.select("doc_id", "text", "y"), "labelled")
-    toxic, clean = examples.agg(F.coalesce(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.lit(0)), F.count(F.when(F.col("y") != 1, 1))).first()
-
-    counts = examples.select("text", "y").mapInArrow(_term_counts, "term long, toxic long, clean long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 3")
-    counts = materialise(counts, "terms")
-    ratio = _likelihood_ratio(toxic, clean)
-    chosen = []
+    examples = _sample(labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")), source)
+    toxic, clean = examples.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.when(F.col("y") == 0, 1))).first()
+
+    counts = examples.select("text", "y").mapInArrow(_term_counts, "term long, whole boolean, toxic long, clean long")
+    counts = materialise(counts.groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "terms")
+    leaning = F.lit(False)
     if toxic and clean:
-        strong = counts.withColumn("g", ratio).where((F.col("g") > chance_bar(counts.count())) & (F.col("toxic") * clean > F.col("clean") * toxic))
-        chosen = strong.orderBy(F.desc("g"), "term").limit(MOST_TERMS).collect()
-    vocabulary = np.sort(np.array([r.term for r in chosen], np.int64).view(np.uint64))
+        bar = chance_bar(counts.where("toxic + clean >= 3").count())
+        leaning = (_likelihood_ratio(toxic, clean) > bar) & (F.col("toxic") * clean > F.col("clean") * toxic) & (F.col("toxic") + F.col("clean") >= 3)
+    terms = counts.withColumn("leans", leaning).where("whole or leans").select("term", "whole", "leans").toArrow()  # of the bounded sample
+    term, whole, leans = (np.asarray(terms.column(c)) for c in ("term", "whole", "leans"))
+    order = np.lexsort((term.astype(np.int64).view(np.uint64), ~whole.astype(bool)))
+    term, whole, leans = term.astype(np.int64).view(np.uint64)[order], whole.astype(bool)[order], leans.astype(bool)[order]
+    vocabulary = context.broadcast((term[whole], term[~whole]))
 
-    vectors_of = _vectors(vocabulary)
     kinds = "doc_id long, terms array<int>, counts array<int>"
-    vectors = materialise(docs.mapInArrow(vectors_of, kinds), "term-vectors")
+    vectors = materialise(docs.mapInArrow(_vectors(vocabulary), kinds), "term-vectors")
     total = vectors.count()
-    frequency = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
-        frequency[r.t] = r.n
-    idf = np.log((1 + total) / (1 + frequency)) + 1
-    own = examples.select("doc_id", "text").mapInArrow(vectors_of, kinds).join(examples.select("doc_id", "y"), "doc_id").collect()
-    learnt = [(r.doc_id, np.array(r.terms, np.int32), np.array(r.counts, np.int32), int(r.y == 1)) for r in own]
-    scorer = spark.sparkContext.broadcast(Scorer(idf, sorted(learnt, key=lambda x: x[0])))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scoring(scorer.value)(batches)
-
-    return vectors.mapInArrow(scored, f"doc_id long, score double, evidence {EVIDENCE}").select(
+    held = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row for each vocabulary term
+    frequency = np.zeros(len(term))
+    frequency[np.asarray(held.column("t")).astype(np.int64)] = np.asarray(held.column("n"))
+    weight_of = (np.log((1 + total) / (1 + frequency)) + 1) * np.where(leans, LEAN, 1.0)
+
+    own = examples.select(F.col("key").alias("doc_id"), "text").mapInArrow(_vectors(vocabulary), kinds).withColumnRenamed("doc_id", "key")
+    own = materialise(own.join(F.broadcast(examples.select("key", "doc_id", "y")), "key"), "example-vectors")
+    learnt = [(r.key, r.doc_id, np.array(r.terms, np.int32), np.array(r.counts, np.int32), r.y) for r in own.collect()]
+    scorer = Scorer(weight_of, sorted(learnt, key=lambda x: x[0]))
+    alone = context.broadcast(scorer)
+    votes = own.select("key", "terms", "counts", "y").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_voting(alone), "vote double, y int")
+    scorer.steps = isotonic([(r.vote, r.y) for r in votes.where("vote is not null").collect()])
+    fitted = context.broadcast(scorer)
+
+    return vectors.mapInArrow(_scoring(fitted), f"doc_id long, score double, evidence {EVIDENCE}").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )
 
