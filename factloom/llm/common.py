@@ -66,11 +66,23 @@ def _clear_scratch() -> None:
             return
 
 
+#: Has the shuffle files of a query removed when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back, which cuts its lineage for good."""
+    """Write a table in the shared folder and read it back, which cuts its lineage for good.
+
+    What was shuffled for it isn't needed again, as the table is whole, so its files go at once.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -47,8 +47,10 @@ LEVEL, LEAN = 0.01, 40.0
 FOLDS, HELD_OUT = 5, 0
 #: Added to a distance before it divides a vote.
 NEAR = 0.05
-#: (row, term) entries of queries that are searched at once.
-ENTRIES = 60_000
+#: (row, term) entries that are searched at once, and the number of blocks at which each round of a search begins.
+ENTRIES, ROUNDS = 250_000, (0, 1, 4)
+#: Cosines count to so many digits, which hides the order in which they were summed.
+DIGITS = 9
 
 
 def held_out(id_col: Column) -> Column:
@@ -138,9 +140,9 @@ class BlockMaxIndex:
     """Exact nearest neighbours among unit vectors given as (terms, weights), by blocks of examples.
 
     Postings lie by term, then example. For each term and block there are the place of its
-    postings and their largest weight. A group of queries is searched in step: in
-    each round every query scores the block with its next best bound, until none is left that
-    could change its result.
+    postings and their largest weight. What many examples of a block hold lies there as a
+    dense row instead. Queries are searched in groups: in each round every query scores the
+    blocks with its next best bounds, and those that could no longer change its result are left out.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
@@ -149,42 +151,63 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         order = np.lexsort((example, term))
-        self.term, self.weight, self.example = term[order].astype(np.int32), weight[order], example[order].astype(np.int32)
+        self.postings = term[order].astype(np.int32), example[order].astype(np.int32), weight[order]
         self._lay_out()
 
     def _lay_out(self) -> None:
+        term, example, weight = self.postings
         self.n_blocks = max(1, -(-self.n // self.block))
-        cell = self.term.astype(np.int64) * self.n_blocks + self.example // self.block
+        cell = term.astype(np.int64) * self.n_blocks + example // self.block
+        size = np.bincount(cell, minlength=self.n_terms * self.n_blocks)
         self.most = np.zeros((self.n_terms, self.n_blocks), np.float32)
-        np.maximum.at(self.most.reshape(-1), cell, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
-        self.place = np.zeros(self.n_terms * self.n_blocks + 1, np.int32)
-        np.cumsum(np.bincount(cell, minlength=self.n_terms * self.n_blocks), out=self.place[1:])
+        np.maximum.at(self.most.reshape(-1), cell, np.nextafter(weight.astype(np.float32), np.float32(2)))
+        dense = size >= max(2, self.block // 8)
+        sparse = ~dense[cell]
+        self.example, self.weight = example[sparse], weight[sparse]
+        self.place = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(np.where(dense, 0, size), out=self.place[1:])
+        dense_term, dense_block = np.divmod(np.flatnonzero(dense), self.n_blocks)
+        self.dense_terms = np.unique(dense_term)
+        row = np.searchsorted(self.dense_terms, dense_term)
+        self.rows = [row[dense_block == b] for b in range(self.n_blocks)]
+        self.tables = [np.zeros((len(r), self.block)) for r in self.rows]
+        at = np.searchsorted(self.dense_terms, term[~sparse])
+        e, w = example[~sparse], weight[~sparse]
+        for b in range(self.n_blocks):
+            own = e // self.block == b
+            self.tables[b][np.searchsorted(self.rows[b], at[own]), e[own] % self.block] = w[own]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("most", "place")}  # made again where it arrives
+        return {k: self.__dict__[k] for k in ("n", "block", "n_terms", "postings")}  # the rest is made again where it arrives
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._lay_out()
 
-    def _round(self, terms: np.ndarray, weights: np.ndarray, row: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-        """Cosines (queries x examples of the block) of n queries' entries, each with the block its query scores."""
-        cells = terms * self.n_blocks + block
+    def _scores(self, query: np.ndarray, block: np.ndarray, term: np.ndarray, weight: np.ndarray, first: np.ndarray, sizes: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Cosines (pairs x examples of the block) of pairs of a query and a block."""
+        entry = _spread(first[query], sizes[query])
+        cells = term[entry] * self.n_blocks + np.repeat(block, sizes[query])
         start = self.place[cells].astype(np.int64)
         size = self.place[cells + 1] - start
         some = np.flatnonzero(size)
+        pair = np.repeat(np.arange(len(query)), sizes[query])[some]
         start, size = start[some], size[some]
         at = _spread(start, size)
-        slot = np.repeat(row[some] * self.block, size) + self.example[at] % self.block
-        sums = np.bincount(slot, np.repeat(weights[some], size) * self.weight[at], n * self.block)
-        return np.round(sums, 12).reshape(n, self.block)
+        slot = np.repeat(pair * self.block, size) + self.example[at] % self.block
+        sums = np.bincount(slot, np.repeat(weight[entry[some]], size) * self.weight[at], len(query) * self.block).astype(float).reshape(-1, self.block)
+        order = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[order], np.arange(self.n_blocks + 1))
+        for b in range(self.n_blocks):
+            own = order[cuts[b]:cuts[b + 1]]
+            if len(own) and len(self.rows[b]):
+                sums[own] += dense[np.ix_(query[own], self.rows[b])] @ self.tables[b]
+        return np.round(sums, DIGITS)
 
     def search(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query, entries ends[i] to ends[i + 1], the (examples, cosines) of all whose cosine is above 0 and at
         least the k-th best; ``skip`` names an example that a query leaves out. Best first, ties by example."""
-        total = len(ends) - 1
-        nothing = (np.empty(0, np.int64), np.empty(0))
-        out = [nothing] * total
+        out = [(np.empty(0, np.int64), np.empty(0))] * (len(ends) - 1)
         sizes = np.diff(ends)
         asked = np.flatnonzero(sizes)
         if not self.n or not len(asked):
@@ -201,35 +224,38 @@ class BlockMaxIndex:
         at = _spread(begin, sizes)
         term, weight = terms[at].astype(np.int64), weights[at]
         first = np.cumsum(sizes) - sizes
-        bound = np.add.reduceat(weight[:, None] * self.most[term], first, axis=0)
+        bound = np.add.reduceat(weight.astype(np.float32)[:, None] * self.most[term], first, axis=0) * np.float32(1 + 1e-4)
         order = np.argsort(-bound, axis=1, kind="stable")
-        top, kept = np.zeros((n, k)), []
-        active = np.arange(n)
-        for step in range(self.n_blocks):
-            block = order[active, step]
-            best = bound[active, block]
-            on = (best > 0) & (best >= top[active, 0] - 1e-9)
-            active, block = active[on], block[on]
-            if not len(active):
+        hit, to = _hits(self.dense_terms, term)
+        dense = np.zeros((n, len(self.dense_terms)))
+        dense[np.repeat(np.arange(n), sizes)[hit], to] = weight[hit]
+        kth = np.zeros(n)
+        found = np.empty((3, 0))  # query, example, cosine
+        for lo, hi in zip(ROUNDS, (*ROUNDS[1:], self.n_blocks)):
+            query, c = np.nonzero((np.take_along_axis(bound, order[:, lo:hi], 1) > 0) & (np.take_along_axis(bound, order[:, lo:hi], 1) >= kth[:, None]))
+            if not len(query):
                 break
-            entry = _spread(first[active], sizes[active])
-            row = np.repeat(np.arange(len(active)), sizes[active])
-            sums = self._round(term[entry], weight[entry], row, np.repeat(block, sizes[active]), len(active))
-            if skip is not None:
-                own = np.flatnonzero((skip[active] >= 0) & (skip[active] // self.block == block))
-                sums[own, skip[active][own] % self.block] = 0
-            top[active] = np.partition(np.concatenate([top[active], sums], 1), self.block, axis=1)[:, self.block:]
-            low = top[active].min(1)
-            top[active] = np.sort(top[active], axis=1)  # the k-th best stands first
-            i, j = np.nonzero((sums > 0) & (sums >= low[:, None]))
-            kept.append((active[i], block[i] * self.block + j, sums[i, j]))
-        query, example, score = (np.concatenate(x) for x in zip(*kept)) if kept else (np.empty(0, np.int64),) * 3
-        keep = score >= top[query, 0]
-        query, example, score = query[keep], example[keep], score[keep]
-        by = np.lexsort((example, -score, query))
-        query, example, score = query[by], example[by], score[by]
-        cuts = np.searchsorted(query, np.arange(n + 1))
-        return [(example[x:y], score[x:y]) for x, y in zip(cuts, cuts[1:])]
+            block = order[query, lo + c]
+            chunks = np.cumsum(sizes[query]) // ENTRIES
+            parts = [found]
+            for own in np.split(np.arange(len(query)), np.flatnonzero(np.diff(chunks)) + 1):
+                q, b = query[own], block[own]
+                sums = self._scores(q, b, term, weight, first, sizes, dense)
+                if skip is not None:
+                    self_ = np.flatnonzero((skip[q] >= 0) & (skip[q] // self.block == b))
+                    sums[self_, skip[q][self_] % self.block] = 0
+                low = np.partition(sums, self.block - k, axis=1)[:, self.block - k] if self.block > k else np.zeros(len(q))
+                i, j = np.nonzero((sums > 0) & (sums >= np.maximum(low, kth[q])[:, None]))
+                parts.append(np.stack([q[i], b[i] * self.block + j, sums[i, j]]))
+            found = np.concatenate(parts, 1)
+            found = found[:, np.lexsort((found[1], -found[2], found[0]))]
+            cuts = np.searchsorted(found[0], np.arange(n + 1))
+            full = np.flatnonzero(np.diff(cuts) >= k)
+            kth[full] = found[2, cuts[full] + k - 1]
+            found = found[:, found[2] >= kth[found[0].astype(np.int64)]]
+        cuts = np.searchsorted(found[0], np.arange(n + 1))
+        example = found[1].astype(np.int64)
+        return [(example[x:y], found[2, x:y]) for x, y in zip(cuts, cuts[1:])]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example) of one query, best first, ties by example."""
