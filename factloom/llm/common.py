@@ -11,6 +11,7 @@ from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +31,15 @@ def ascii_lower(c: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; where that is unset, a local one on a local master and an error on any other."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = context._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="factloom-")
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -86,6 +89,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_row_each(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the rows that share an id, that whose text has the smallest hash; the other columns of equal texts may come from any of them."""
+    free = "_" * (1 + max(map(len, df.columns)))  # no column is called so
+    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    return df.withColumn(free, first).where(F.col(free) == 1).drop(free)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialise`` that nothing will read again."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -1,6 +1,7 @@
 """FLAC media columns: encode samples, decode them to PCM blocks with sample offsets, verify every checksum.
 
-Streams are mono, of 4 to 16 bits a sample, as RFC 9639 lays them down. Frames of many documents
+Streams have 1 to 8 channels of 4 to 24 bits a sample, as RFC 9639 lays them down; what is
+written here is mono. Frames of many documents
 are coded together: bit fields are scattered and gathered by whole arrays, and
 where a stream is serial (Rice codes, predictors, checksums) all frames advance
 in step, a sample or a byte of each at a time. So the work per sample is a few
@@ -221,6 +222,7 @@ def encode_streams(streams: list[np.ndarray], bps: int = 8, block: int = BLOCK,
 
 @dataclass
 class Stream:
+    channels: int
     bps: int
     rate: int
     n_samples: int
@@ -247,21 +249,27 @@ def read_metadata(data: bytes) -> Stream:
     if info is None or len(info) != 34:
         raise FlacError("no stream information")
     packed = int.from_bytes(info[10:18], "big")
-    if packed >> 41 & 7:
-        raise FlacError("only one channel is supported")
-    return Stream((packed >> 36 & 31) + 1, packed >> 44, packed & ((1 << 36) - 1), info[18:34], at, points)
+    bps = (packed >> 36 & 31) + 1
+    if bps > 24:
+        raise FlacError("only samples of up to 24 bits are supported")
+    return Stream((packed >> 41 & 7) + 1, bps, packed >> 44, packed & ((1 << 36) - 1), info[18:34], at, points)
 
 
 _BLOCK_SIZES = {1: 192, **{k: 576 << (k - 2) for k in range(2, 6)}, **{k: 256 << (k - 8) for k in range(8, 16)}}
 
 
-def _read_header(data: bytes, at: int) -> tuple[int, int, int]:
-    """(frame or sample number, samples, byte of the subframe) of the frame there."""
+#: How a frame's two channels are told when neither stands for itself: which of them is a difference, one bit wider.
+LEFT_SIDE, SIDE_RIGHT, MID_SIDE = 8, 9, 10
+
+
+def _read_header(data: bytes, at: int) -> tuple[int, int, int, int]:
+    """(frame or sample number, samples, byte of the subframes, layout of channels) of the frame there."""
     if data[at:at + 1] != b"\xff" or data[at + 1] & 0xFC != 0xF8:
         raise FlacError("no frame where one should be")
     size, rate, place = data[at + 2] >> 4, data[at + 2] & 15, at + 4
-    if data[at + 3] >> 4:
-        raise FlacError("only one channel is supported")
+    layout = data[at + 3] >> 4
+    if layout > MID_SIDE:
+        raise FlacError("a reserved layout of channels")
     first = data[place]
     more = 0 if first < 0x80 else 8 - (first ^ 0xFF).bit_length() - 1
     number = first & (0x7F >> more if more else 0x7F) if not more else first & ((1 << (6 - more)) - 1)
@@ -279,11 +287,11 @@ def _read_header(data: bytes, at: int) -> tuple[int, int, int]:
     place += {12: 1, 13: 2, 14: 2}.get(rate, 0)
     if _crc8(data[at:place]) != data[place]:
         raise FlacError("a frame header's checksum is wrong")
-    return number, n, place + 1
+    return number, n, place + 1, layout
 
 
 @lru_cache(1 << 16)
-def _known_header(head: bytes) -> tuple[int, int, int]:
+def _known_header(head: bytes) -> tuple[int, int, int, int]:
     return _read_header(head, 0)
 
 
@@ -294,7 +302,7 @@ def _frames_of(data: bytes, s: Stream) -> list[tuple[int, int, int, int]]:
         starts, at, due = [], s.frames, 0
         while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data):
             try:
-                number, n, _ = _read_header(data, at)
+                number, n, *_ = _read_header(data, at)
             except (FlacError, IndexError):
                 number = -1
             if number == due or data[at + 1] & 1 and number >= 0:
@@ -303,7 +311,7 @@ def _frames_of(data: bytes, s: Stream) -> list[tuple[int, int, int, int]]:
             at += 1
     out, sample = [], 0
     for a, b in zip(starts, [*starts[1:], len(data)]):
-        _, n, _ = _known_header(data[a:a + 16]) if b - a >= 16 else _read_header(data, a)
+        _, n, *_ = _known_header(data[a:a + 16]) if b - a >= 16 else _read_header(data, a)
         out.append((a, b - a, sample, n))
         sample += n
     if sample != s.n_samples:
@@ -334,8 +342,8 @@ class _Bits:
         return np.where(np.asarray(width) > 0, v - ((v >> (np.maximum(width, 1) - 1) & 1) << width), 0)
 
 
-def _residuals(bits: _Bits, at: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
-    """Rice-coded residuals (samples x frames) behind the warm-up samples; each frame's bit place moves in step."""
+def _residuals(bits: _Bits, at: np.ndarray, order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rice-coded residuals (samples x frames) behind the warm-up samples, and the bit places behind them; each frame's place moves in step."""
     frames = len(at)
     method = bits.take(at, 2)
     if (method > 1).any():
@@ -377,39 +385,59 @@ def _residuals(bits: _Bits, at: np.ndarray, order: np.ndarray, n: int) -> np.nda
         value = np.where(raw < 0, (u >> 1) ^ -(u & 1), bits.signed(at, np.maximum(raw, 0)))
         out[i] = np.where(live, value, 0)
         at = at + np.where(live, np.where(raw < 0, used + 1 + k, raw), 0)
-    return out
+    return out, at
 
 
 def _decode_group(bits: _Bits, at: np.ndarray, n: int, bps: int) -> np.ndarray:
     """Samples (samples x frames) of subframes of one length that begin at bit places."""
+    return _decode_subframes(bits, at, n, bps)[0]
+
+
+def _decode_subframes(bits: _Bits, at: np.ndarray, n: int, bps: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_decode_group``, with the bit places behind the subframes."""
     head = bits.take(at, 8)
     kind, wasted = head >> 1 & 63, head & 1
-    if (head >> 7).any() or wasted.any():
-        raise FlacError("wasted bits aren't supported")
+    if (head >> 7).any():
+        raise FlacError("no subframe where one should be")
     at = at + 8
+    lower = np.flatnonzero(wasted)
+    open_ = lower
+    while len(open_):  # bits that are 0 in every sample, told in unary
+        zeros = _ZEROS[bits.peek(at[open_]) >> 16]
+        wasted[open_] += zeros
+        at[open_] += zeros
+        open_ = open_[zeros == 16]
+    at[lower] += 1
+    bps = bps - wasted
+    if (bps < 1).any():
+        raise FlacError("more wasted bits than a sample has")
     out = np.zeros((n, len(at)), np.int64)
     own = np.flatnonzero(kind == CONSTANT)
-    out[:, own] = bits.signed(at[own], bps)
+    out[:, own] = bits.signed(at[own], bps[own])
+    at[own] += bps[own]
     own = np.flatnonzero(kind == VERBATIM)
     for i in range(n) if len(own) else ():
-        out[i, own] = bits.signed(at[own] + i * bps, bps)
+        out[i, own] = bits.signed(at[own] + i * bps[own], bps[own])
+    at[own] += n * bps[own]
     fixed, linear = (kind >= 8) & (kind <= 12), kind >= 32
     if ((kind > 1) & ~fixed & ~linear).any():
         raise FlacError("a reserved subframe")
     rest = np.flatnonzero(fixed | linear)
-    if not len(rest):
-        return out
-    order = np.where(fixed, kind - 8, kind - 31)[rest]
-    place = at[rest]
-    warm = np.zeros((int(order.max()), len(rest)), np.int64)
+    if len(rest):
+        out[:, rest], at[rest] = _predicted(bits, at[rest], n, bps[rest], np.where(fixed, kind - 8, kind - 31)[rest], linear[rest])
+    return out << wasted, at
+
+
+def _predicted(bits: _Bits, place: np.ndarray, n: int, bps: np.ndarray, order: np.ndarray, is_linear: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Samples (samples x frames) of predicted subframes, from their warm-up samples on, and the bit places behind them."""
+    warm = np.zeros((int(order.max()), len(place)), np.int64)
     for i in range(len(warm)):
         warm[i] = np.where(order > i, bits.signed(place + i * bps, bps), 0)
     place = place + order * bps
-    coefficients, shift = np.zeros((int(order.max()), len(rest)), np.int64), np.zeros(len(rest), np.int64)
+    coefficients, shift = np.zeros((int(order.max()), len(place)), np.int64), np.zeros(len(place), np.int64)
     for o in range(min(4, len(coefficients)) + 1):
         for j, c in enumerate(FIXED[o]):
-            coefficients[j, fixed[rest] & (order == o)] = c
-    is_linear = linear[rest]
+            coefficients[j, ~is_linear & (order == o)] = c
     if is_linear.any():
         precision = np.where(is_linear, bits.take(place, 4) + 1, 0)
         shift = np.where(is_linear, bits.signed(place + 4, 5), 0)
@@ -420,7 +448,7 @@ def _decode_group(bits: _Bits, at: np.ndarray, n: int, bps: int) -> np.ndarray:
             has = is_linear & (order > j)
             coefficients[j] = np.where(has, bits.signed(place, precision), coefficients[j])
             place = place + precision * has
-    x = _residuals(bits, place, order, n)
+    x, place = _residuals(bits, place, order, n)
     deepest = int(order.max())
     for i in range(min(deepest, n)):
         x[i] = np.where(order > i, warm[i], x[i])
@@ -428,12 +456,39 @@ def _decode_group(bits: _Bits, at: np.ndarray, n: int, bps: int) -> np.ndarray:
         depth = min(deepest, i)
         guess = (coefficients[:depth] * x[i - depth:i][::-1]).sum(0) >> shift if depth else 0
         x[i] += np.where(order <= i, guess, 0) if i < deepest else guess
-    out[:, rest] = x
-    return out
+    return x, place
+
+
+def _decode_frames(bits: _Bits, at: np.ndarray, n: int, bps: int, layout: int) -> np.ndarray:
+    """Samples (frames x samples x channels) of frames of one length and layout, whose subframes begin at bit places."""
+    channels = []
+    for c in range(2 if layout >= LEFT_SIDE else layout + 1):
+        wider = (layout in (LEFT_SIDE, MID_SIDE) and c == 1) or (layout == SIDE_RIGHT and c == 0)
+        x, at = _decode_subframes(bits, at, n, bps + wider)
+        channels.append(x)
+    if layout == LEFT_SIDE:
+        channels[1] = channels[0] - channels[1]
+    elif layout == SIDE_RIGHT:
+        channels[0] = channels[1] + channels[0]
+    elif layout == MID_SIDE:
+        middle, side = channels
+        whole = middle << 1 | side & 1
+        channels = [(whole + side) >> 1, (whole - side) >> 1]
+    return np.stack([x.T for x in channels], axis=-1)
+
+
+def pcm_bytes(x: np.ndarray, bps: int) -> bytes:
+    """Samples, channels side by side, as little-endian signed PCM of as many bytes as the bits need."""
+    if bps > 16:
+        return x.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :3].tobytes()
+    return x.astype("<i2" if bps > 8 else "i1").tobytes()
 
 
 def decode_streams(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
-    """For each stream its blocks (first sample, samples); frame, header and whole-stream checksums are verified."""
+    """For each stream its blocks (first sample, samples); frame, header and whole-stream checksums are verified.
+
+    Samples of several channels are an array of samples x channels.
+    """
     metadata = [read_metadata(d) for d in streams]
     base = np.concatenate([[0], np.cumsum([len(d) for d in streams])]).tolist()
     raw = np.frombuffer(b"".join(streams), np.uint8)
@@ -447,22 +502,21 @@ def decode_streams(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     if (_crc16(raw, start, size - 2) != told).any():
         raise FlacError("a frame's checksum is wrong")
     bits = _Bits(raw)
-    by: dict[tuple[int, int], list[int]] = {}
-    for i, (s, *_, n) in enumerate(rows):
-        by.setdefault((n, metadata[s].bps), []).append(i)
+    by: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    for i, (s, b, size_, _, n) in enumerate(rows):
+        head = _known_header(streams[s][b:b + 16]) if size_ >= 16 else tuple(v - (b if k == 2 else 0) for k, v in enumerate(_read_header(streams[s], b)))
+        if (2 if head[3] >= LEFT_SIDE else head[3] + 1) != metadata[s].channels:
+            raise FlacError("a frame has other channels than its stream")
+        by.setdefault((n, metadata[s].bps, head[3]), []).append((i, (base[s] + b + head[2]) * 8))
     samples: dict[int, np.ndarray] = {}
-    for (n, bps), own in by.items():
-        at = []
-        for i in own:
-            s, b, size_, *_ = rows[i]
-            head = _known_header(streams[s][b:b + 16]) if size_ >= 16 else tuple(v - (b if k == 2 else 0) for k, v in enumerate(_read_header(streams[s], b)))
-            at.append((base[s] + b + head[2]) * 8)
-        decoded = np.ascontiguousarray(_decode_group(bits, np.array(at), n, bps).T)
-        samples |= dict(zip(own, decoded))
+    for (n, bps, layout), own in by.items():
+        decoded = _decode_frames(bits, np.array([at for _, at in own]), n, bps, layout)
+        decoded = np.ascontiguousarray(decoded[:, :, 0] if layout == 0 else decoded)
+        samples |= dict(zip([i for i, _ in own], decoded))
     for i, (s, _, _, first, _) in enumerate(rows):
         out[s].append((first, samples[i]))
     for blocks, m in zip(out, metadata):
-        pcm = b"".join(x.astype("<i2" if m.bps > 8 else "i1").tobytes() for _, x in blocks)
+        pcm = b"".join(pcm_bytes(x, m.bps) for _, x in blocks)
         if any(m.md5) and hashlib.md5(pcm).digest() != m.md5:
             raise FlacError("the decoded samples aren't those encoded")
     return out
@@ -506,17 +560,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             has = [(i, m) for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if m is not None]
             for (doc_id, media), blocks in zip(has, decode_streams([m for _, m in has])):
-                kind = "<i2" if read_metadata(media).bps > 8 else "i1"
-                rows += [(doc_id, k, first, len(x), x.astype(kind).tobytes()) for k, (first, x) in enumerate(blocks)]
+                bps = read_metadata(media).bps
+                rows += [(doc_id, k, first, len(x), pcm_bytes(x, bps)) for k, (first, x) in enumerate(blocks)]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "block", "first_sample", "n_samples", "pcm"])
 
 
 def flac_to_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, block, first_sample, n_samples, pcm): the PCM blocks of each stream, little-endian, with where each begins.
+    """(doc_id, block, first_sample, n_samples, pcm): the PCM blocks of each stream, little-endian, channels side by side, with where each begins.
 
-    A null stream has no blocks. A stream that is damaged or not supported fails
+    Null and repeated ids are kept; other columns aren't read. A null stream has no blocks. A stream that is damaged or not supported fails
     the job with ``FlacError``: silence in its place would look like data.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
@@ -536,23 +590,43 @@ DIGESTS = (
 )
 
 
+def _payload(blocks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The samples of a stream's PCM blocks, each where its offset says."""
+    due = 0
+    for first, x in blocks:
+        if first != due:
+            raise FlacError(f"a block begins at sample {first}, not at {due}")
+        due += len(x)
+    return np.concatenate([x for _, x in blocks]) if blocks else np.empty(0, np.int64)
+
+
 def _digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"]
     for batch in batches:
         for b in text_slices(batch, 2, AT_A_TIME):
             media = b.column(2).to_pylist()
+            decoded = iter(decode_streams([m for m in media if m is not None]))
             rows = []
-            for m, blocks in zip(media, decode_streams(media)):
-                x = np.concatenate([x for _, x in blocks])
+            for m in media:
+                if m is None:
+                    rows.append((None,) * 7)
+                    continue
+                blocks = next(decoded)
+                x = _payload(blocks)
                 payload = (x + 128).astype(np.uint8).tobytes()
                 rows.append((
                     len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]),
                     len(m), hashlib.sha256(m).hexdigest(), feature_of(x), len(blocks),
                 ))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
 
 
 def payload_digests(media: DataFrame) -> DataFrame:
-    """What the stored streams of ``texts_to_flac`` hold, each decoded and verified."""
+    """What the stored streams of ``texts_to_flac`` hold, each decoded to its PCM blocks, verified and put together by their offsets.
+
+    ``media`` needs doc_id, n_bytes and media; other columns aren't read. Null and
+    repeated ids are kept. A null stream has null digests; one without samples has
+    those of no bytes. A stream that is damaged or not mono of 8 bits fails the job.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digesting, DIGESTS)

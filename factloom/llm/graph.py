@@ -18,9 +18,9 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps: each node links its larger
     neighbours, then its smaller ones, to the smallest node it knows. The number
-    of edges never grows, a path halves with each round, and a hub's rows are
-    dealt to its neighbours, so no node's edges are gathered. Each round's edges
-    are written to the shared folder.
+    of edges never grows and a path halves with each round. A hub's edges are aggregated before they
+    are shuffled and meet its least neighbour in a plain equality join, whose skewed
+    keys Spark splits at run time. Each round's edges are written to the shared folder.
     """
     now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     now = materialise(now, "edges")

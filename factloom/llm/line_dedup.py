@@ -7,9 +7,9 @@ keeps its lines in the largest document id alone.
 Only 128-bit hashes of keys travel. They are range-partitioned and sorted by
 hash, document (largest first) and position, so that a window streams over each
 key and sees its first document first. Keys that hold more than a fixed share of
-all lines would be one task's work there; there can be only as many of them as
-that share allows, so their totals, counted before the shuffle, are broadcast
-instead. Positions to drop come back as one bitmap per document, a bit per line,
+all lines, or more than a fixed number, would be one task's work there; they are counted before
+the shuffle instead, and only their totals meet the lines again: broadcast while few, else
+by a join that Spark can split. Positions to drop come back as one bitmap per document, a bit per line,
 cut after the last word with a bit set; documents without any have none.
 """
 
@@ -22,8 +22,10 @@ from pyspark.sql import Window as W
 from factloom.llm.common import ascii_lower, materialise, whole_text
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: A key with more than this part of all lines is frequent: at most HEAVY_KEYS keys are, whatever the input.
-HEAVY_KEYS = 2000
+#: A key with more than one in HEAVY_KEYS of all lines, or more than LIGHT_LINES, is frequent.
+HEAVY_KEYS, LIGHT_LINES = 2000, 2_000_000
+#: Frequent keys are broadcast up to this number of them, and joined by shuffles beyond it.
+BROADCAST_KEYS = 100_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -57,26 +59,28 @@ def drop_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).withColumn("_row", F.xxhash64("_text"))
     lines = materialise(_hashed_lines(docs, min_chars), "lines")
     total = lines.count()
-    bar = max(total // HEAVY_KEYS, min_docs)
+    bar = min(max(total // HEAVY_KEYS, min_docs), LIGHT_LINES)
+    # No more keys than total / bar are frequent, which proves the bound of what is broadcast.
+    few = F.broadcast if total // max(bar, 1) <= BROADCAST_KEYS else lambda keys: keys
 
     counted = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"))
     heavy_keys = counted.where(F.col("_n") > bar).select("h1", "h2")
-    # What is left of the frequent keys after a count per document is one row for each; HEAVY_KEYS bounds them.
+    # What is left of the frequent keys after a count per document is one row for each.
     heavy = (
-        lines.join(F.broadcast(heavy_keys), ["h1", "h2"], "left_semi")
+        lines.join(few(heavy_keys), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2", "_id").agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_id").alias("_keeper"))
     )
     heavy = materialise(heavy, "frequent-lines")
     many = heavy.where(F.col("_docs") >= min_docs)
     dropped_heavy = (
-        lines.join(F.broadcast(many), ["h1", "h2"])
+        lines.join(few(many), ["h1", "h2"])
         .where(F.col("_id") != F.col("_keeper")).select("_id", "_row", "pos")
     )
 
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     light = (
-        lines.join(F.broadcast(heavy.select("h1", "h2")), ["h1", "h2"], "left_anti")
+        lines.join(few(heavy.select("h1", "h2")), ["h1", "h2"], "left_anti")
         .repartitionByRange(n, "h1", "h2")
         .sortWithinPartitions("h1", "h2", F.desc("_id"), "pos")
     )
@@ -110,21 +114,25 @@ def _goes(bitmap: Column, i: Column) -> Column:
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The input with its text cut to the lines that stay (joined by \\n), and ``_n_lines`` and ``_n_dropped``."""
+    """The input with its text cut to the lines that stay (joined by \\n), and ``_n_lines`` and ``_n_dropped``.
+
+    Columns of the input that have these two names are replaced; any other name may occur.
+    """
+    free = "_" * (1 + max(map(len, df.columns)))  # no column is called so
     bitmaps = drop_bitmaps(df, id_col, text_col, min_chars, min_docs).select(
-        F.col(id_col).alias("_bitmap_id"), F.col("_row").alias("_bitmap_row"), F.col("bitmap").alias("_bitmap")
+        F.col(id_col).alias(free + "id"), F.col("_row").alias(free + "row"), F.col("bitmap").alias(free)
     )
-    same = (df[id_col] == F.col("_bitmap_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_bitmap_row"))
+    same = (df[id_col] == F.col(free + "id")) & (F.xxhash64(whole_text(text_col)) == F.col(free + "row"))
     joined = df.join(bitmaps.hint("shuffle_hash"), same, "left")
     lines = lines_of(whole_text(text_col))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~_goes(F.col("_bitmap"), i)), "\n")
-    dropped = F.aggregate("_bitmap", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~_goes(F.col(free), i)), "\n")
+    dropped = F.aggregate(free, F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w))
     return (
         joined.withColumns(
             {
                 "_n_lines": F.size(lines).cast("long"),
                 "_n_dropped": F.coalesce(dropped, F.lit(0).cast("long")),
-                text_col: F.when(F.col("_bitmap").isNull(), whole_text(text_col)).otherwise(kept),
+                text_col: F.when(F.col(free).isNull(), whole_text(text_col)).otherwise(kept),
             }
-        ).drop("_bitmap", "_bitmap_id", "_bitmap_row")
+        ).drop(free, free + "id", free + "row")
     )

@@ -35,8 +35,8 @@ from factloom.llm.tokenizing import tokenizer
 
 CAPACITY, END_ID = 2048, 0
 ROUNDS, RATE = 400, 0.25
-#: Each length's pieces are numbered in this many independent parts.
-PARTS = 32
+#: Each length's pieces are numbered in independent parts: of LEAST_PART pieces up to FEW_PARTS of them, then of MOST_PART.
+FEW_PARTS, LEAST_PART, MOST_PART = 32, 1024, 1_000_000
 
 
 @dataclass
@@ -214,16 +214,19 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int =
     from 0 without gaps.
     """
     cut = materialise(pieces(df, vocabulary, capacity, end_id, with_ids, id_col, text_col), "pieces")
-    cut = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(PARTS)).cast("int"))
+    spark = df.sparkSession
+    sizes = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length
+    dealt = [(r.length, max(min(FEW_PARTS, -(-r.n // LEAST_PART)), -(-r.n // MOST_PART))) for r in sizes]
+    dealt = F.broadcast(spark.createDataFrame(dealt, "length long, _parts int"))
+    cut = cut.join(dealt, "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.col("_parts")).cast("int"))
     counts = cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n"))
-    sums = [(r.length, r._part, r.n) for r in counts.collect()]  # capacity x PARTS rows at most
+    sums = [(r.length, r._part, r.n) for r in counts.collect()]  # capacity x FEW_PARTS rows, and one for each MOST_PART pieces
     histogram: Counter = Counter()
     starts = []
     for length, part, n in sorted(sums):
         starts.append((length, part, histogram[length]))
         histogram[length] += n
     places = Places(plan_packing(dict(histogram), capacity))
-    spark = df.sparkSession
     offsets = F.broadcast(spark.createDataFrame(starts, "length long, _part int, _start long"))
     inside = W.partitionBy("length", "_part").orderBy("doc_id", "copy", "piece")
     ranked = (

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import arrow_tokens, chat, decontaminate, flac, licenses, line_dedup, packing, sharding, simhash, toxicity
-from factloom.llm.common import documents
+from factloom.llm.common import documents, materialise
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.payload_digests(flac.texts_to_flac(documents(spark, sf_dir)))
+    return flac.payload_digests(materialise(flac.texts_to_flac(documents(spark, sf_dir)), "flac-media"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ LIMB = (1 << 22) - 1
 TOP = (1 << 20) - 1
 #: Steps that settle practically all keys; the rest go on in a second loop.
 FIRST_STEPS = 24
-#: Each shard is numbered in this many independent parts, so that no task orders a whole shard.
-SLOT_PARTS = 64
+#: Each shard is numbered in independent parts, so that no task orders a whole shard: this many, or more of this many rows.
+SLOT_PARTS, PART_ROWS = 64, 1_000_000
 ROW_OVERHEAD = 16
 
 
@@ -79,8 +79,8 @@ def assign_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
     null texts count as empty; rows that repeat an id share its shard and have
     slots of their own; other columns aren't read. Slots count from 0 without a
     gap in each shard, in the order (part, id, crc, size). The text leaves the
-    row before anything is shuffled. A table of shards x parts counts, of fixed
-    size, is all that is broadcast.
+    row before anything is shuffled. A table of shards x parts counts, one for each PART_ROWS rows beyond
+    a fixed number, is all that is broadcast.
     """
     text = whole_text(text_col)
     rows = df.select(
@@ -90,9 +90,10 @@ def assign_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
     )
     rows = rows.withColumn("_s", jump_shards(F.xxhash64("doc_id"), n_shards)).select(
         "doc_id", "size", "text_crc32", "_s.shard", "_s.grown_shard",
-        F.pmod(F.xxhash64(F.lit(7), "doc_id", "text_crc32", "size"), F.lit(SLOT_PARTS)).cast("int").alias("_part"),
     )
     rows = materialise(rows, "shards")
+    parts = max(SLOT_PARTS, -(-rows.count() // (PART_ROWS * n_shards)))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(7), "doc_id", "text_crc32", "size"), F.lit(parts)).cast("int"))
     before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         rows.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise
+from factloom.llm import similar
+from factloom.llm.common import materialise, one_row_each
 from factloom.llm.graph import components
 
 SHINGLE_WORDS, SEED = 3, 42
@@ -115,7 +116,7 @@ def _link(group: np.ndarray, fp: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets come sorted; the last one of a batch may go on in the next. Buckets of one fingerprint are passed over."""
-    held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+    held: list[list[np.ndarray]] = []  # the last bucket's parts, joined when it ends
     waiting: list[tuple[np.ndarray, ...]] = []
     number = 0
 
@@ -137,15 +138,18 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns)]
+        cols = [np.asarray(c) for c in batch.columns]
         cut = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
-        held = [c[cut:] for c in cols]
-        if cut:
+        if held and (cut or (held[-1][0][-1], held[-1][1][-1]) != (cols[0][-1], cols[1][-1])):
+            whole(*(np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols])))
+            held = []
+        elif cut:
             whole(*(c[:cut] for c in cols))
+        held.append([c[cut:] for c in cols])
         if sum(len(x[0]) for x in waiting) >= CHUNK_ROWS:
             yield linked()
-    if len(held[0]) > 1:
-        whole(*held)
+    if held:
+        whole(*(np.concatenate(x) for x in zip(*held)))
     if waiting:
         yield linked()
 
@@ -186,12 +190,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest id. Rows with a null id stay unless a group has an id; of rows that repeat the smallest id, one stays."""
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
+    """One row of each group: that of the smallest id. Rows with a null id all stay; of rows that repeat the smallest id, that whose text has the smallest hash stays.
+
+    By default groups are linked by fingerprints within two bits. With a ``similarity`` they are
+    linked by that Jaccard similarity of shingles of ``width`` words: at 0.8, texts differ by some ten bits
+    of 64, which no segments can index, so an exact join finds these (``similar``).
+    """
+    if similarity is not None:
+        return similar.drop_similar(df, id_col, text_col, similarity, width)
+    if width != SHINGLE_WORDS:
+        raise ValueError(f"fingerprints are of {SHINGLE_WORDS} words")
     classes = materialise(near_duplicates(df, id_col, text_col), "classes")
     keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
     n, different = keep.agg(F.count("_kept"), F.count_distinct("_kept")).first()
     kept = df.join(keep.distinct(), df[id_col] == F.col("_kept"), "left_semi")
     if n > different:  # only then must rows be told apart, which moves the texts
-        kept = kept.dropDuplicates([id_col])
+        kept = one_row_each(kept, id_col, text_col)
     return kept.unionByName(df.where(F.col(id_col).isNull()))

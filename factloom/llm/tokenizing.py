@@ -3,8 +3,8 @@
 The library splits a text in pre-tokens and encodes each alone, so a text's ids
 are its pre-tokens' ids in a row. Splitting here and asking the library
 for each piece once is several times as fast as asking for each text. Texts with
-characters for which Python's classes could differ from the library's are
-given to the library whole.
+characters for which Python's classes could differ from the library's, or with the string of
+a special token, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -28,16 +28,19 @@ PIECES_A_CALL = 1000
 #: Characters of text that are split at a time.
 CHARS_A_TIME = 1_000_000
 
-_made: dict[str, "WordCachedTokenizer"] = {}
+_made: dict[tuple[str, bool], "WordCachedTokenizer"] = {}
 
 
 class WordCachedTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
+        """``special_as_text``: a special token's string in a text is ordinary text; by default it is that token, as the library has it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's other tasks have the other cores
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.whole.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         self.pieces = Tokenizer.from_file(path)
         self.pieces.encode_special_tokens = True
         if self.whole.normalizer is None and isinstance(self.whole.pre_tokenizer, pre_tokenizers.ByteLevel):
@@ -69,7 +72,8 @@ class WordCachedTokenizer:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         fold = self.fold or (lambda x: x)
-        split = [None if self.split is None or _ODD.search(x) else self.split(fold(x)) for x in texts]
+        odd = lambda x: self.split is None or _ODD.search(x) or self.special is not None and self.special.search(x)
+        split = [None if odd(x) else self.split(fold(x)) for x in texts]
         kept = self.kept
         new = {w for words in split if words for w in words}.difference(kept)
         if new:
@@ -94,8 +98,8 @@ class WordCachedTokenizer:
         return out + self._some(some) if some else out
 
 
-def tokenizer(path: str) -> WordCachedTokenizer:
+def tokenizer(path: str, special_as_text: bool = False) -> WordCachedTokenizer:
     """One for each file in a process, so that a worker's later tasks find its words."""
-    if path not in _made:
-        _made[path] = WordCachedTokenizer(path)
-    return _made[path]
+    if (path, special_as_text) not in _made:
+        _made[path, special_as_text] = WordCachedTokenizer(path, special_as_text)
+    return _made[path, special_as_text]

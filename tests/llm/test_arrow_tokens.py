@@ -19,14 +19,12 @@ ODD = ["<|endoftext|> it's '  don't 'tis 've\n\n  a  b\t\tc ", "½ x² ", "İsta
 def test_ids_equal_the_library_s(name):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     got = tokenizer(path).many(ODD)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(x, add_special_tokens=False).ids for x in ODD]
 
 
 def truth(rows):
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     out, at = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = plain.encode(text or "", add_special_tokens=False).ids + [1]

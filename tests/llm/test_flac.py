@@ -155,3 +155,59 @@ def test_table_digests(spark):
     assert b"".join((np.frombuffer(b.pcm, "i1").astype(np.int16) + 128).astype(np.uint8).tobytes() for b in blocks)[:10] == b"long long "
     assert [b.first_sample for b in blocks] == [k * 1024 for k in range(len(blocks))]
     assert flac.flac_to_blocks(flac.texts_to_flac(spark.createDataFrame([], schema))).count() == 0
+
+
+def written_stream(channels, bps, layout, wasted=0):
+    """A stream of one frame, written bit by bit with verbatim or constant subframes, and its samples (samples x channels)."""
+    left, right = channels
+    told = {1: (left, right), 8: (left, left - right), 9: (left - right, right), 10: ((left + right) >> 1, left - right)}[layout]
+    wide = {1: (0, 0), 8: (0, 1), 9: (1, 0), 10: (0, 1)}[layout]
+    out = ""
+    for x, more in zip(told, wide):
+        width = bps + more - wasted
+        field = lambda v, w=width: f"{(int(v) >> wasted) & ((1 << w) - 1):0{w}b}"
+        constant = len(set(x.tolist())) == 1
+        out += f"0{0 if constant else 1:06b}{int(wasted > 0)}" + ("0" * (wasted - 1) + "1" if wasted else "")
+        out += field(x[0]) if constant else "".join(map(field, x))
+    out += "0" * (-len(out) % 8)
+    n = len(left)
+    head = bytes([0xFF, 0xF8, 0x70 | 4, layout << 4]) + bytes([0]) + (n - 1).to_bytes(2, "big")
+    frame = head + bytes([flac._crc8(head)]) + bytes(int(out[i:i + 8], 2) for i in range(0, len(out), 8))
+    raw = np.frombuffer(frame, np.uint8)
+    frame += int(flac._crc16(raw, np.array([0]), np.array([len(raw)]))[0]).to_bytes(2, "big")
+    samples = np.stack(channels, 1)
+    info = n.to_bytes(2, "big") * 2 + bytes(6) + ((8000 << 44) | (1 << 41) | ((bps - 1) << 36) | n).to_bytes(8, "big")
+    info += hashlib.md5(flac.pcm_bytes(samples, bps)).digest()
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + frame, samples
+
+
+@pytest.mark.parametrize("bps", [8, 16, 24])
+def test_layouts_of_two_channels_and_wasted_bits(bps):
+    rnd = np.random.default_rng(bps)
+    high = 1 << (bps - 1)
+    cases = []
+    for layout in (1, 8, 9, 10):
+        for wasted in (0, 1, 3):
+            if layout == 10 and wasted:
+                continue  # a middle of shifted samples need not be one
+            x = rnd.integers(-high >> wasted, high >> wasted, (2, 40)) << wasted
+            cases.append(written_stream(list(x), bps, layout, wasted))
+    cases.append(written_stream([np.full(30, -5), np.full(30, -5)], bps, 8))
+    for (_, want), blocks in zip(cases, flac.decode_streams([c for c, _ in cases])):
+        assert [f for f, _ in blocks] == [0] and np.array_equal(blocks[0][1], want)
+
+
+def test_null_and_empty_media_and_every_digest(spark):
+    empty = flac.encode_streams([np.empty(0, np.int16)])[0]
+    x = np.frombuffer(flac.payload_of(b"some text, some more"), np.uint8).astype(np.int16) - 128
+    coded = flac.encode_streams([x])[0]
+    rows = [(1, 5, None), (2, 0, empty), (None, 20, coded), (3, 20, coded)]
+    got = {r.doc_id: r for r in flac.payload_digests(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].payload_sha256 is None and got[1].media_bytes is None and got[1].n_bytes == 5
+    assert got[2].payload_bytes == 0 and got[2].n_blocks == 0 and got[2].feature == "n=0;sum=0;energy=0;crossings=0;peak=0"
+    v = x.astype(int).tolist()
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(v, v[1:]))
+    assert got[3].feature == got[None].feature == f"n=64;sum={sum(v)};energy={sum(a * a for a in v)};crossings={crossings};peak={max(map(abs, v))}"
+    assert got[3].media_sha256 == hashlib.sha256(coded).hexdigest() and got[3].media_bytes == len(coded)
+    blocks = {r.doc_id: r for r in flac.flac_to_blocks(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert set(blocks) == {None, 3} and blocks[3].pcm == x.astype("i1").tobytes() and blocks[3].first_sample == 0

@@ -15,7 +15,6 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 def check(rows, docs, capacity=2048):
     plain = Tokenizer.from_file(BYTES)
-    plain.encode_special_tokens = True
     want = Counter()
     for doc_id, text in docs:
         ids = plain.encode(text or "", add_special_tokens=False).ids + [0]
@@ -77,3 +76,16 @@ def test_pricing_equals_a_plain_knapsack():
         best[c] = max([best[c - 1]] + [best[c - k] + values[k] for k in range(1, c + 1)])
     worth, used = packing.dearest(values, 40)
     assert worth == pytest.approx(best[40]) and sum(values[k] * n for k, n in used.items()) == pytest.approx(worth)
+
+
+def test_special_strings_are_the_library_s_tokens():
+    from factloom.llm.tokenizing import tokenizer
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|ENDOFTEXT|> y", "plain text", "<|startoftext|> in <|endoftext|> out"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        plain, as_text = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        as_text.encode_special_tokens = True
+        for own, truth in ((tokenizer(path), plain), (tokenizer(path, special_as_text=True), as_text)):
+            got = [np.frombuffer(x, "<u4").tolist() for x in own.many(texts)]
+            assert got == [truth.encode(x, add_special_tokens=False).ids for x in texts]

@@ -5,7 +5,7 @@ from factloom.llm import toxicity
 from tests.llm.test_decontaminate import brute as brute_leaks
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_packing import check as check_packing
-from tests.llm.test_simhash import brute_classes, brute_fingerprint
+from tests.llm.test_similar import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def test_each_stage_on_its_predecessor_s_rows(spark):
         elif name == "line_dedup":
             assert new == {i: t for i, t, *_ in brute_lines(list(old.items()))}
         elif name == "simhash_near_dedup":
-            classes = brute_classes({i: brute_fingerprint(t) for i, t in old.items()})
+            classes = brute_groups(list(old.items()))  # the stage's own rule: five-word shingles at 0.8, not op8's two bits
             assert new == {i: t for i, t in old.items() if classes[i] == i}
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
