@@ -42,13 +42,15 @@ from factloom.llm.wordhash import hashed_prefixes, text_slices
 #: Labelled examples learnt from, and bytes of their texts, at most; both bound what is broadcast.
 MOST_EXAMPLES, MOST_BYTES = 4096, 64 << 20
 PREFIXES = (4, 5, 6, 7)
-NEIGHBOURS, BLOCK = 5, 128
+NEIGHBOURS, BLOCK = 5, 256
 LEVEL, LEAN = 0.01, 40.0
 FOLDS, HELD_OUT = 5, 0
+#: Bytes of text whose words are hashed at once.
+SLICE = 1 << 20
 #: Added to a distance before it divides a vote.
 NEAR = 0.05
 #: (row, term) entries that are searched at once, and the number of blocks at which each round of a search begins.
-ENTRIES, ROUNDS = 250_000, (0, 1, 4)
+ENTRIES, ROUNDS = 100_000, (0, 1, 3)
 #: Cosines count to so many digits, which hides the order in which they were summed.
 DIGITS = 9
 
@@ -61,7 +63,7 @@ def held_out(id_col: Column) -> Column:
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, whole, toxic, clean): examples of each kind that hold a word or a prefix, for each slice of rows (text, y)."""
     for batch in batches:
-        for b in text_slices(batch, 0, 2 << 20):
+        for b in text_slices(batch, 0, SLICE):
             first, hashes = hashed_prefixes(b.column(0), PREFIXES)
             rows = np.repeat(np.repeat(np.arange(b.num_rows), np.diff(first)), hashes.shape[1])
             whole = np.tile(np.arange(hashes.shape[1]) == 0, len(hashes))
@@ -97,7 +99,7 @@ def _vectors(shared: Broadcast):
         words, prefixes = shared.value
         size = max(1, len(words) + len(prefixes))
         for batch in batches:
-            for b in text_slices(batch, 1, 2 << 20):
+            for b in text_slices(batch, 1, SLICE):
                 first, hashes = hashed_prefixes(b.column(1), PREFIXES if len(prefixes) else ())
                 rows = np.repeat(np.arange(b.num_rows), np.diff(first))
                 hit, at = _hits(words, np.ascontiguousarray(hashes[:, 0]))
@@ -158,14 +160,14 @@ class BlockMaxIndex:
         term, example, weight = self.postings
         self.n_blocks = max(1, -(-self.n // self.block))
         cell = term.astype(np.int64) * self.n_blocks + example // self.block
-        size = np.bincount(cell, minlength=self.n_terms * self.n_blocks)
+        size = np.bincount(cell, minlength=self.n_terms * self.n_blocks).astype(np.int32)
         self.most = np.zeros((self.n_terms, self.n_blocks), np.float32)
         np.maximum.at(self.most.reshape(-1), cell, np.nextafter(weight.astype(np.float32), np.float32(2)))
         dense = size >= max(2, self.block // 8)
         sparse = ~dense[cell]
         self.example, self.weight = example[sparse], weight[sparse]
         self.place = np.zeros(len(size) + 1, np.int32)
-        np.cumsum(np.where(dense, 0, size), out=self.place[1:])
+        np.cumsum(np.where(dense, np.int32(0), size), out=self.place[1:])
         dense_term, dense_block = np.divmod(np.flatnonzero(dense), self.n_blocks)
         self.dense_terms = np.unique(dense_term)
         row = np.searchsorted(self.dense_terms, dense_term)
@@ -183,6 +185,7 @@ class BlockMaxIndex:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._lay_out()
+        del self.postings
 
     def _scores(self, query: np.ndarray, block: np.ndarray, term: np.ndarray, weight: np.ndarray, first: np.ndarray, sizes: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Cosines (pairs x examples of the block) of pairs of a query and a block."""
@@ -286,7 +289,7 @@ def _by_likeness(vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, clu
 
 
 class Scorer:
-    """What goes to the executors: term weights, the index, labels and, once fitted, the calibration."""
+    """What goes to the executors: term weights, the index and labels."""
 
     def __init__(self, weight_of: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray, int]], k: int = NEIGHBOURS):
         """examples: (key, doc_id, terms, counts, label); those without terms only count for the rate."""
@@ -299,7 +302,6 @@ class Scorer:
         self.place_of = {key: j for j, (key, *_) in enumerate(full)}
         self.ids, self.labels = [i for _, i, _, _ in full], np.array([y for *_, y in full], float)
         self.index = BlockMaxIndex([v for _, _, v, _ in full], len(weight_of))
-        self.steps = isotonic([])
 
     def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight_of[terms]
@@ -324,11 +326,12 @@ class Scorer:
         w = 1 / (np.maximum(0.0, 1 - cosines) + NEAR)
         return float((w * self.labels[examples]).sum() / w.sum())
 
-    def score(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[dict]]:
+    def score(self, found: tuple[np.ndarray, np.ndarray], steps: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[dict]]:
+        """The calibrated vote and its evidence; ``steps`` is what ``isotonic`` has fitted."""
         vote = self.vote(found)
         if vote is None:
             return self.rate, []
-        value = float(np.interp(vote, *self.steps)) if len(self.steps[0]) else vote
+        value = float(np.interp(vote, *steps)) if len(steps[0]) else vote
         return value, [{"doc_id": self.ids[i], "cosine": s, "label": int(self.labels[i])} for i, s in zip(found[0].tolist(), found[1].tolist())]
 
 
@@ -356,7 +359,7 @@ def _rows_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends - x, np.asarray(lists.values)[x:y], np.asarray(b.column(2).values)[x:y]
 
 
-def _scoring(shared: Broadcast):
+def _scoring(shared: Broadcast, steps: tuple[np.ndarray, np.ndarray]):
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +367,7 @@ def _scoring(shared: Broadcast):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 b = batch.slice(lo, 1000)
-                scores, evidence = zip(*map(scorer.score, scorer.neighbours(*_rows_of(b))))
+                scores, evidence = zip(*(scorer.score(x, steps) for x in scorer.neighbours(*_rows_of(b))))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"]
                 )
@@ -436,14 +439,16 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     own = examples.select(F.col("key").alias("doc_id"), "text").mapInArrow(_vectors(vocabulary), kinds).withColumnRenamed("doc_id", "key")
     own = materialise(own.join(F.broadcast(examples.select("key", "doc_id", "y")), "key"), "example-vectors")
-    learnt = [(r.key, r.doc_id, np.array(r.terms, np.int32), np.array(r.counts, np.int32), r.y) for r in own.collect()]
-    scorer = Scorer(weight_of, sorted(learnt, key=lambda x: x[0]))
-    alone = context.broadcast(scorer)
-    votes = own.select("key", "terms", "counts", "y").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_voting(alone), "vote double, y int")
-    scorer.steps = isotonic([(r.vote, r.y) for r in votes.where("vote is not null").collect()])
-    fitted = context.broadcast(scorer)
-
-    return vectors.mapInArrow(_scoring(fitted), f"doc_id long, score double, evidence {EVIDENCE}").select(
+    table = own.select("key", "terms", "counts", "doc_id", "y").orderBy("key").toArrow().combine_chunks()
+    learnt = [
+        (b.column(0)[i].as_py(), b.column(3)[i].as_py(), terms[x:y], counts[x:y], b.column(4)[i].as_py())
+        for b in table.to_batches() for ends, terms, counts in [_rows_of(b)] for i, (x, y) in enumerate(zip(ends, ends[1:]))
+    ]
+    scorer = context.broadcast(Scorer(weight_of, learnt))
+    votes = own.select("key", "terms", "counts", "y").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_voting(scorer), "vote double, y int")
+    steps = isotonic([(r.vote, r.y) for r in votes.where("vote is not null").collect()])  # a row for each example
+
+    return vectors.mapInArrow(_scoring(scorer, steps), f"doc_id long, score double, evidence {EVIDENCE}").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )
 

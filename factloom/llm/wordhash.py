@@ -63,7 +63,7 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Texts are hashed in runs of about this many bytes, which bounds the arrays.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 
 def _string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
