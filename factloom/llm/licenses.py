@@ -10,10 +10,13 @@ the place of the first shared token on enough must be left on both sides
 (position). Only lines that pass are compared whole.
 
 A license that is wrapped over lines is found in windows of a text's words, whatever
-its lines: each place of a prefix token is a candidate, the words around it
-must hold enough of the template, and then every window around the place that is as long
+its lines: each place of a prefix token is a candidate, the template words around it
+must be enough, and then every window over the place that is as long
 as the template may be with a fifth of other words in it is compared. The templates are a fixed
 list, so their tokens and prefixes, some hundreds of rows, are what is broadcast.
+
+Texts are split in words once. That pass keeps the phrases' places, the template words of each line
+and their places in the text, a small part of it, and is written; all else reads it.
 """
 
 from __future__ import annotations
@@ -73,18 +76,54 @@ def _phrase_places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(starts, same)).otherwise(F.array().cast("array<int>"))
 
 
+PLACES = "array<struct<label:string,at:int>>"
+
+
+def _split(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, lines array<array<string>>, words array<string>, spaced) of each row, lower-cased."""
+    rows = df.select(F.col(id_col).alias("doc_id"), ascii_lower(whole_text(text_col)).alias("_low"))
+    rows = rows.select("doc_id", F.transform(F.split("_low", "\n", -1), lambda x: F.btrim(F.regexp_replace(x, NOT_WORD, " "), F.lit(" "))).alias("_spaced"))
+    lines = F.transform("_spaced", lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, " ")))
+    rows = rows.select("doc_id", lines.alias("lines"), F.array_join("_spaced", " ").alias("spaced"))
+    return rows.select("doc_id", "lines", F.flatten("lines").alias("words"), "spaced")
+
+
+def _places(phrases: dict[str, str]) -> Column:
+    """Every place of a phrase in ``words``, sought only in texts that have its first word at all."""
+    none = F.array().cast(PLACES)
+
+    def of(phrase: str, label: str) -> Column:
+        at = F.transform(_phrase_places(F.col("words"), phrase), lambda i: F.struct(F.lit(label).alias("label"), i.alias("at")))
+        return F.when(F.col("spaced").contains(phrase.split()[0]), at).otherwise(none)
+
+    return F.concat(*[of(p, label) for p, label in phrases.items()])
+
+
 def base_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:
     """(doc_id, n_words, places array<struct<label, at>>) of each row: every place where a phrase's words stand together."""
-    rows = df.select(F.col(id_col).alias("doc_id"), ascii_lower(whole_text(text_col)).alias("_low"))
-    rows = rows.select("doc_id", words_of(F.col("_low")).alias("_words"), F.regexp_replace("_low", NOT_WORD, " ").alias("_spaced"))
-    none = F.array().cast("array<struct<label:string,at:int>>")
+    return _split(df, id_col, text_col).select("doc_id", F.size("words").cast("long").alias("n_words"), _places(phrases).alias("places"))
+
+
+def _scanned(df: DataFrame, id_col: str, text_col: str, vocabulary: list[str], least: int) -> DataFrame:
+    """As ``base_scan``, with the vocabulary's words: ``held`` in each line with ``least`` of them or more, and ``known`` with their places; written."""
+    rows = _split(df, id_col, text_col)
+    held = F.transform("lines", lambda ws, i: F.struct(i.alias("block"), F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary))).alias("held")))
+    known = F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("at"), w.alias("token"))))
+    return materialise(rows.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), _places(PHRASES).alias("places"),
+        F.filter(held, lambda x: F.size(x["held"]) >= least).alias("blocks"), F.filter(known, lambda x: x.isNotNull()).alias("known"),
+    ), "license-words")
+
 
-    def places(phrase: str, label: str) -> Column:
-        at = F.transform(_phrase_places(F.col("_words"), phrase), lambda i: F.struct(F.lit(label).alias("label"), i.alias("at")))
-        return F.when(F.col("_spaced").contains(phrase), at).otherwise(none)  # sought only in texts that have the phrase at all
+class _Templates:
+    """The templates' words, how many of each must be held, and how many words a window of each may have."""
 
-    found = [places(p, label) for p, label in phrases.items()]
-    return rows.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.concat(*found).alias("places"))
+    def __init__(self, templates, threshold: float):
+        self.labels = [label for label, _ in templates]
+        self.tokens = [_template_words(t) for _, t in templates]
+        self.vocabulary = sorted({w for t in self.tokens for w in t})
+        self.need = [math.ceil(threshold * len(t) - 1e-9) for t in self.tokens]
+        self.spread = [math.ceil(len([w for w in re.split(NOT_WORD, t.lower()) if w]) / threshold - 1e-9) for _, t in templates]
 
 
 def template_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -92,45 +131,44 @@ def template_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows without a block are windows over lines; of these each place that reaches the threshold has one with its best.
     """
-    spark = df.sparkSession
-    tokens = [_template_words(t) for _, t in templates]
-    vocabulary = sorted({w for t in tokens for w in t})
-    need = [math.ceil(threshold * len(t) - 1e-9) for t in tokens]
-    lines = df.select(F.col(id_col).alias("doc_id"), F.split(ascii_lower(whole_text(text_col)), "\n", -1).alias("_l")).select("doc_id", F.posexplode("_l").alias("block", "_line"))
-    known = F.array_distinct(F.filter(words_of(F.col("_line")), lambda w: w.isin(vocabulary)))
-    blocks = lines.where(F.char_length("_line") > 0).select("doc_id", "block", known.alias("held")).where(F.size("held") > 0)
-
-    counted = {r.t: r.n for r in blocks.select(F.explode("held").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # the vocabulary's size
-    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
+    own = _Templates(templates, threshold)
+    return _blocks_of(_scanned(df, id_col, text_col, own.vocabulary, min(own.need)), own)
+
+
+def _blocks_of(scanned: DataFrame, own: _Templates) -> DataFrame:
+    spark = scanned.sparkSession
+    counted = {r.t: r.n for r in scanned.select(F.explode("known.token").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # the vocabulary's size
+    rank = {w: k for k, w in enumerate(sorted(own.vocabulary, key=lambda w: (counted.get(w, 0), w)))}
     rows = []
-    for k, (label, own) in enumerate(zip((x for x, _ in templates), tokens)):
-        ordered = sorted(own, key=rank.get)
-        rows += [(w, k, label, i, len(ordered), need[k], sorted(rank[x] for x in own)) for i, w in enumerate(ordered[:len(ordered) - need[k] + 1])]
-    prefixes = spark.createDataFrame(rows, "token string, template int, label string, at int, size int, need int, ranks array<int>")
+    for k, (label, tokens, need) in enumerate(zip(own.labels, own.tokens, own.need)):
+        ordered = sorted(tokens, key=rank.get)
+        held = sorted(rank[x] for x in tokens)
+        rows += [(w, k, label, i, len(ordered), need, held, own.spread[k], tokens) for i, w in enumerate(ordered[:len(ordered) - need + 1])]
+    kinds = "token string, template int, label string, place int, size int, need int, ranks array<int>, spread int, own array<string>"
+    prefixes = F.broadcast(spark.createDataFrame(rows, kinds))
     first = sorted({r[0] for r in rows})
+
     ranks = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
-    candidates = blocks.where((F.size("held") >= min(need)) & F.exists("held", lambda w: w.isin(first)))
+    candidates = scanned.select("doc_id", F.inline("blocks")).where(F.exists("held", lambda w: w.isin(first)))
     ordered = candidates.select("doc_id", "block", F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(ranks, w).alias("rank"), w.alias("token")))).alias("held"))
-    probes = ordered.select("doc_id", "block", F.transform("held", lambda x: x["rank"]).alias("held"), F.posexplode("held").alias("place", "_t")).select("*", F.col("_t.token").alias("token")).drop("_t")
-    joined = probes.join(F.broadcast(prefixes), "token").where(
-        (F.size("held") >= F.col("need")) & (F.least(F.col("size") - F.col("at"), F.size("held") - F.col("place")) >= F.col("need"))
+    probes = ordered.select("doc_id", "block", F.transform("held", lambda x: x["rank"]).alias("held"), F.posexplode("held").alias("at", "_t"))
+    joined = probes.select("doc_id", "block", "held", "at", F.col("_t.token").alias("token")).join(prefixes, "token").where(
+        (F.size("held") >= F.col("need")) & (F.least(F.col("size") - F.col("place"), F.size("held") - F.col("at")) >= F.col("need"))
     )
     shared = F.size(F.array_intersect("held", "ranks"))
-    found = (
-        joined.where(shared >= F.col("need"))
-        .select("doc_id", "block", "label", "template", (shared / F.col("size")).alias("containment")).distinct()
-    )
-    spread = [math.ceil(len([w for w in re.split(NOT_WORD, t.lower()) if w]) / threshold - 1e-9) for _, t in templates]
-    wide = [(w, k, label, size, need_k, spread[k], tokens[k]) for w, k, label, _, size, need_k, _ in rows]
-    seeds = spark.createDataFrame(wide, "token string, template int, label string, size int, need int, spread int, own array<string>")
-    words = df.select(F.col(id_col).alias("doc_id"), words_of(ascii_lower(whole_text(text_col))).alias("_words"))
-    at = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("token"), i.alias("at"))), lambda x: x["token"].isin(first))
-    places = words.where(F.exists("_words", lambda w: w.isin(first))).select("doc_id", "_words", F.inline(at)).join(F.broadcast(seeds), "token")
-    begin = F.greatest(F.col("at") - F.col("spread") + 1, F.lit(0))
-    around = places.select("doc_id", "template", "label", "size", "need", "spread", "own", F.slice("_words", begin + 1, F.col("at") + F.col("spread") - begin).alias("_near"))
-    around = around.where(F.size(F.array_intersect("_near", "own")) >= F.col("need"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_near") - F.col("spread") + 1, F.lit(1)))
-    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("_near", i, F.col("spread")), "own"))))
+    found = joined.where(shared >= F.col("need")).select("doc_id", "block", "label", "template", (shared / F.col("size")).alias("containment")).distinct()
+
+    # A word of the vocabulary takes a place in ``known``, so what is within so many words is within so many entries.
+    reach = max(own.spread)
+    near = lambda k: F.slice("known", F.greatest(k - reach + 2, F.lit(1)), 2 * reach - 1)
+    seeds = F.transform("known", lambda x, k: F.when(x["token"].isin(first), F.struct(x["token"].alias("token"), x["at"].alias("at"), near(k).alias("near"))))
+    places = scanned.where(F.exists("known", lambda x: x["token"].isin(first))).select("doc_id", F.inline(F.filter(seeds, lambda x: x.isNotNull())))
+    around = places.join(prefixes, "token").withColumn("near", F.filter(
+        "near", lambda x: (F.abs(x["at"] - F.col("at")) < F.col("spread")) & F.array_contains("own", x["token"])
+    )).where(F.size(F.array_distinct("near.token")) >= F.col("need"))
+    inside = lambda start: F.filter("near", lambda x: (x["at"] >= start["at"]) & (x["at"] < start["at"] + F.col("spread")))
+    starts = F.filter("near", lambda x: x["at"] <= F.col("at"))
+    best = F.array_max(F.transform(starts, lambda y: F.size(F.array_distinct(F.transform(inside(y), lambda x: x["token"])))))
     windows = around.withColumn("_best", best).where(F.col("_best") >= F.col("need"))
     return found.unionByName(windows.select("doc_id", F.lit(None).cast("int").alias("block"), "label", "template", (F.col("_best") / F.col("size")).alias("containment")))
 
@@ -144,8 +182,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and share the templates found in any of them; null ids are one id. Other
     columns aren't read.
     """
-    base = base_scan(df, id_col, text_col)
-    found = template_blocks(df, id_col, text_col, threshold=threshold).groupBy(F.col("doc_id").alias("_id")).agg(
+    templates = _Templates(TEMPLATES, threshold)
+    base = _scanned(df, id_col, text_col, templates.vocabulary, min(templates.need))
+    found = _blocks_of(base, templates).groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set("label").alias("_labels"), F.max("containment").alias("_best")
     )
     own = F.array_distinct(F.transform("places", lambda p: p["label"]))
