@@ -45,6 +45,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Dictionaries in which operators keep things in an executor's Python process from task to task.
+kept_in_process: list[dict] = []
+
+
+def drop_what_is_kept() -> None:
+    """Empty those dictionaries; tasks that need much memory themselves begin with this, as processes serve many operators."""
+    for kept in kept_in_process:
+        kept.clear()
+
+
 _scratch: list[str] = []
 
 

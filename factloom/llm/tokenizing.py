@@ -15,6 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from factloom.llm.common import kept_in_process
+
 #: The white space of Unicode, as the library's patterns see it.
 _SPACE = "\\t-\\r \\x85\\xa0"
 #: Beyond these (ASCII without its four odd separators, and Latin letters whose classes and cases are plain) a text goes to the library whole.
@@ -29,6 +31,7 @@ PIECES_A_CALL = 1000
 CHARS_A_TIME = 1_000_000
 
 _made: dict[tuple[str, bool], "WordCachedTokenizer"] = {}
+kept_in_process.append(_made)
 
 
 class WordCachedTokenizer:

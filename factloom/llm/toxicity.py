@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import materialise
+from factloom.llm.common import drop_what_is_kept, materialise
 from factloom.llm.wordhash import hashed_prefixes, text_slices
 
 #: Labelled examples learnt from, and bytes of their texts, at most; both bound what is broadcast.
@@ -96,6 +96,7 @@ def _hits(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
 def _vectors(shared: Broadcast):
     """For each row of (id, text) the vocabulary terms it holds and how often; words are numbered first, then prefixes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_what_is_kept()
         words, prefixes = shared.value
         size = max(1, len(words) + len(prefixes))
         for batch in batches:

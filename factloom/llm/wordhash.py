@@ -95,6 +95,23 @@ def _hash_run(raw: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, n
     return start, out
 
 
+def _hash_pieces(raw: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_hash_run``, in pieces that end between words, so that a very long text takes no more memory than a run."""
+    if len(raw) <= 2 * RUN_BYTES:
+        return _hash_run(raw, prefixes)
+    starts, parts, at = [], [], 0
+    while at < len(raw):
+        end = min(at + RUN_BYTES, len(raw))
+        while end < len(raw) and _FOLD[raw[end]]:
+            gap = np.flatnonzero(_FOLD[raw[end:end + 4096]] == 0)
+            end = min(len(raw), end + (int(gap[0]) if len(gap) else 4096))
+        start, hashes = _hash_run(raw[at:end], prefixes)
+        starts.append(start + at)
+        parts.append(hashes)
+        at = end
+    return np.concatenate(starts), np.concatenate(parts)
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(first, hashes): the words of text i are hashes[first[i]:first[i + 1]], in order. A null has none."""
     first, hashes = hashed_prefixes(texts, ())
@@ -114,7 +131,7 @@ def hashed_prefixes(texts: pa.Array, prefixes: tuple[int, ...]) -> tuple[np.ndar
         stops = np.cumsum(lengths + 1) - 1
         keep[stops] = False
         run[keep] = raw[ends[i]:ends[j]]
-        start, hashes = _hash_run(run, prefixes)
+        start, hashes = _hash_pieces(run, prefixes)
         first[i + 1:j + 1] = have + np.searchsorted(start, stops, "right")
         parts.append(hashes)
         have += len(hashes)
