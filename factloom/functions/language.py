@@ -293,6 +293,10 @@ class Fact:
         return F.when(self.number.isNotNull(), compare(self.number, F.lit(as_number))).otherwise(by_text)
 
 
+def _absent() -> Fact:
+    return Fact(F.lit(None).cast("string"), T.StringType())
+
+
 def _holds(leaf: Leaf, fact: Fact) -> Column:
     c, args = fact.column, leaf.args
     if leaf.op == "is set":
@@ -323,29 +327,48 @@ def names(*facts: str) -> Column:
     return F.array(*map(F.lit, facts)).cast("array<string>")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _truth(node, facts: Mapping[str, Fact]) -> Column:
+    if isinstance(node, Always):
+        return F.lit(True)
+    if isinstance(node, Leaf):
+        return _holds(node, facts.get(node.fact) or _absent())
+    if isinstance(node, Never):
+        return ~_truth(node.part, facts)
+    parts = [_truth(p, facts) for p in node.parts]
+    return reduce(lambda a, b: a & b, parts) if isinstance(node, Both) else reduce(lambda a, b: a | b, parts)
+
+
+def _outcome(node, facts: Mapping[str, Fact]) -> Column:
+    """struct(held, on) of a condition; each part of it stands in the expression once."""
+    pair = lambda held, on: F.struct(held.alias("held"), on.alias("on"))
+    if isinstance(node, Always):
+        return pair(F.lit(True), names())
+    if isinstance(node, Leaf):
+        fact = facts.get(node.fact) or _absent()
+        return pair(_holds(node, fact), F.when(fact.column.isNotNull(), names(node.fact)).otherwise(names()))
+    if isinstance(node, Never):
+        return bind(_outcome(node.part, facts), lambda x: pair(~x["held"], x["on"]))
+    parts = F.array(*[_outcome(p, facts) for p in node.parts])
+    if isinstance(node, Both):
+        go_on = lambda sofar, x: F.when(sofar["held"], pair(x["held"], F.array_union(sofar["on"], x["on"]))).otherwise(sofar)
+    else:
+        go_on = lambda sofar, x: F.when(sofar["held"], sofar).when(x["held"], x).otherwise(pair(F.lit(False), F.array_union(sofar["on"], x["on"])))
+    return F.aggregate(parts, pair(F.lit(isinstance(node, Both)), names()), go_on)
+
+
 def compile_condition(node, facts: Mapping[str, Fact]) -> tuple[Column, Column]:
     """(holds, rests_on): the truth of a condition, never null, and the facts present that decided it.
 
     A fact that isn't in ``facts`` is absent. A false ``and`` rests on its first false part and those
     before it; a true ``or`` on its first true part alone, a false one on all parts.
+    Both expressions grow in proportion to the condition.
     """
-    if isinstance(node, Always):
-        return F.lit(True), names()
-    if isinstance(node, Leaf):
-        fact = facts.get(node.fact) or Fact(F.lit(None).cast("string"), T.StringType())
-        return _holds(node, fact), F.when(fact.column.isNotNull(), names(node.fact)).otherwise(names())
-    if isinstance(node, Never):
-        held, on = compile_condition(node.part, facts)
-        return ~held, on
-    parts = [compile_condition(p, facts) for p in node.parts]
-    held, on = parts[0]
-    for h, o in parts[1:]:
-        union = F.array_union(on, o)
-        if isinstance(node, Both):
-            held, on = held & h, F.when(held, union).otherwise(on)
-        else:
-            held, on = held | h, F.when(held, on).when(h, o).otherwise(union)
-    return held, on
+    return _truth(node, facts), _outcome(node, facts)["on"]
 
 
 def facts_of_frame(df) -> dict[str, Fact]:

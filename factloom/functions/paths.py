@@ -8,8 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.functions.language import Fact, LanguageError
+from factloom.functions.language import Fact, LanguageError, bind
 
 LIMIT, KEPT_EXTENSION = 120, 8
 # Names that one system or another keeps for itself.
@@ -23,11 +24,13 @@ def sanitise(c: Column) -> Column:
     """
     c = F.regexp_replace(F.regexp_replace(c, r"[/\\]", "-"), r'[<>:"|?*\x00-\x1f\x7f]', "")
     c = F.regexp_replace(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), r"[. ]+$", "")
-    c = F.when(F.lower(F.substring_index(c, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), c)).otherwise(c)
-    extension = F.regexp_extract(c, rf"(\.[^.]{{0,{KEPT_EXTENSION}}})$", 1)
-    shortened = F.concat(F.regexp_replace(F.left(c, F.lit(LIMIT) - F.char_length(extension)), r"[. ]+$", ""), extension)
-    c = F.when(F.char_length(c) > LIMIT, shortened).otherwise(c)
-    return F.when(c == "", "_").otherwise(c)
+    c = bind(c, lambda x: F.when(F.lower(F.substring_index(x, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), x)).otherwise(x))
+
+    def shortened(x: Column) -> Column:
+        cut = lambda end: F.concat(F.regexp_replace(F.left(x, F.lit(LIMIT) - F.char_length(end)), r"[. ]+$", ""), end)
+        return bind(F.regexp_extract(x, rf"(\.[^.]{{0,{KEPT_EXTENSION}}})$", 1), cut)
+
+    return bind(c, lambda x: F.when(F.char_length(x) > LIMIT, shortened(x)).when(x == "", "_").otherwise(x))
 
 
 def title_case(c: Column) -> Column:
@@ -84,7 +87,8 @@ def _token(spec: str, facts: Mapping[str, Fact]) -> tuple[Column, Column]:
     if style in ("upper", "lower", "title"):
         shown = {"upper": F.upper, "lower": F.lower, "title": title_case}[style](value)
     elif "%" in style:
-        shown = F.date_format(as_moment(value), spark_date_pattern(style))
+        dated = fact is not None and not bar and isinstance(fact.kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        shown = F.date_format(fact.column if dated else as_moment(value), spark_date_pattern(style))
     elif m := re.fullmatch(r"0?(\d+)d?", style):
         digits = F.when(value.rlike(r"^\d+$"), F.lpad(value, F.greatest(F.lit(int(m[1])), F.char_length(value)), "0" if style[0] == "0" else " "))
         shown = digits if fact is not None and fact.is_numeric else F.lit(None).cast("string")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from factloom.functions import paths
 from factloom.functions.language import (
-    Always, Fact, LanguageError, compile_condition, facts_of, facts_of_frame, java_pattern, literal, names, parse,
+    Always, Fact, LanguageError, bind, compile_condition, facts_of, facts_of_frame, java_pattern, literal, names, parse,
 )
 
 NO_MATCH = "when did not match"
@@ -101,9 +101,9 @@ class Rule:
             level = F.coalesce(F.create_map(*[x for f in self.facts for x in (F.lit(f), F.coalesce(of(f), F.lit(0.0)))]), F.create_map()) if self.facts else F.create_map()
             shown = [F.when(F.nullif(facts[f].text, F.lit("")).isNotNull(), names(f)).otherwise(names()) for f in self.path_facts if f in facts]
             asked = F.array_sort(reduce(F.array_union, shown, rests_on))
-            weak = F.filter(asked, lambda f: F.element_at(level, f) < self.min_confidence)
-            told = F.array_join(F.transform(weak, lambda f: F.format_string("%s %.2f", f, F.element_at(level, f))), ", ")
-            why.append(F.when(F.size(weak) > 0, F.concat(F.lit(f"below confidence {self.min_confidence:.2f}: "), told)))
+            weak = F.filter(F.transform(asked, lambda f: F.struct(f.alias("f"), F.element_at(level, f).alias("at"))), lambda x: x["at"] < self.min_confidence)
+            told = lambda w: F.array_join(F.transform(w, lambda x: F.format_string("%s %.2f", x["f"], x["at"])), ", ")
+            why.append(bind(weak, lambda w: F.when(F.size(w) > 0, F.concat(F.lit(f"below confidence {self.min_confidence:.2f}: "), told(w)))))
         facts = dict(facts)
         subject, pattern = self.extraction
         if subject:
@@ -128,12 +128,12 @@ class Rule:
                 why.append(F.when(root.isNull(), "relative destination has no source root"))
                 folder = F.concat(root, F.lit("/"), folder)
             destination = F.concat(folder, F.lit("/"), F.coalesce(file, F.lit("_")))
-        problem = F.coalesce(*[w.cast("string") for w in why])
         fine = "matched; leave in place" if self.mode == "leave" else "matched"
-        return F.struct(
-            problem.isNull().alias("matched"), F.coalesce(problem, F.lit(fine)).alias("reason"),
-            F.when(problem.isNull(), destination).alias("destination"), rests_on.alias("rests_on"),
-        )
+        found = F.struct(F.coalesce(*[w.cast("string") for w in why]).alias("problem"), destination.alias("to"), rests_on.alias("on"))
+        return bind(found, lambda x: F.struct(
+            x["problem"].isNull().alias("matched"), F.coalesce(x["problem"], F.lit(fine)).alias("reason"),
+            F.when(x["problem"].isNull(), x["to"]).alias("destination"), x["on"].alias("rests_on"),
+        ))
 
 
 @dataclass(frozen=True)
