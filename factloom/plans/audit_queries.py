@@ -65,7 +65,7 @@ SELECT o_orderkey, ['jpg', 'pdf', 'tif', 'doc'][(o_orderkey % 4 + 1)::INT] AS ex
 FROM orders
 """
 
-AUDITED = load_rules("[rule: tin]\nwhen = p_type contains ti\ninto = /a\n[rule: ness]\nwhen = p_type contains eel\ninto = /b\n[rule: brand]\nwhen = p_brand = 'brand 13' or p_name = 'green'\ninto = /c")
+AUDITED = load_rules("[rule: tin]\nwhen = p_type contains dar\ninto = /a\n[rule: ness]\nwhen = p_type contains con\ninto = /b\n[rule: brand]\nwhen = p_brand = 'brand 13' or p_name = 'green'\ninto = /c")
 
 
 def inside_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def inside_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INSIDE_SQL = """
-WITH asked(rule, word) AS (VALUES ('tin', 'ti'), ('ness', 'eel')),
+WITH asked(rule, word) AS (VALUES ('tin', 'dar'), ('ness', 'con')),
 h AS (SELECT rule, word, unnest(list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+'))) AS host FROM part, asked WHERE contains(lower(p_type), word)),
 c AS (SELECT rule, word, host, count(*) AS n FROM h WHERE contains(host, word) GROUP BY ALL)
 SELECT rule, 'p_type' AS fact, word, sum(n)::BIGINT AS inside, array_to_string(list(host ORDER BY n DESC, host)[1:5], ',') AS hosts
