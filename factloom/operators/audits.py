@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.language import leaves_of
+from factloom.functions.language import compile_condition, facts_of_frame, leaves_of
 from factloom.functions.text import nearly
 from factloom.operators.induction import long_facts
 from factloom.operators.rules import RuleSet
@@ -38,11 +38,14 @@ def inside_words(items: DataFrame, rules: RuleSet, at_least: int = AT_LEAST) ->
 
 
 def near_values(items: DataFrame, key: str, rules: RuleSet) -> DataFrame:
-    """(rule, fact, wanted, value, n): values that nearly equal what a never-true equality of a rule wants.
+    """(rule, fact, wanted, value, n): values that nearly equal what a never-true equality of a rule wants, for rules that match no item at all.
 
     The wanted values come from the rules, so that side is small and goes to every executor.
     """
-    wanted = [(r.name, leaf.fact, str(v)) for r in rules.rules for leaf in leaves_of(r.condition) if leaf.op in ("=", "in") and leaf.fact in items.columns for v in leaf.args if isinstance(v, str)]
+    facts = facts_of_frame(items)
+    matched = items.agg(*[F.coalesce(F.max(compile_condition(r.condition, facts)[0]), F.lit(False)) for r in rules.rules]).first() if rules.rules else ()
+    never = [r for r, held in zip(rules.rules, matched) if not held]
+    wanted = [(r.name, leaf.fact, str(v)) for r in never for leaf in leaves_of(r.condition) if leaf.op in ("=", "in") and leaf.fact in items.columns for v in leaf.args if isinstance(v, str)]
     spark = items.sparkSession
     if not wanted:
         return spark.createDataFrame([], "rule string, fact string, wanted string, value string, n long")

@@ -24,6 +24,8 @@ from factloom.functions.language import (
 )
 
 NO_MATCH = "when did not match"
+#: Times that a rule must have been shadowed before it is called dead.
+TRIALS = 3
 #: Facts that say what an item is called and where it lies; extraction may not make them.
 PROTECTED = ("name", "stem", "ext", "dir", "path", "source_root", "size", "modified", "added", "age", "kind", "format")
 # The keys that the sections of a rules text may have.
@@ -165,29 +167,34 @@ class RuleSet:
             first(lambda r, c: c["destination"]).alias("destination"), F.when(won.isNull(), missed).alias("near_miss"),
         )
 
-    def usage(self, df: DataFrame, confidence=None, platform: str = "linux") -> DataFrame:
-        """(rule, placed, shadowed, shadowed_by, waiting, matched, dead) of each rule over a table of items.
+    def usage(self, filed: DataFrame, rule_col: str) -> DataFrame:
+        """(k, rule, placed, shadowed, shadowed_by, waiting, dead) of each rule over items that were filed, ``rule_col`` names by which rule.
 
-        Placed: it decides. Shadowed: it matches, and an earlier rule decides; ``shadowed_by`` is the most frequent
-        of those. Waiting: a holding rule's placements. Dead: it places and waits for nothing.
+        Conditions alone are replayed, without gates: was a rule reachable at all? Placed: it filed the item. Of the other
+        rules that match, those below the one that filed it are shadowed, ``shadowed_by`` is the most frequent of these;
+        those above it wait, and so do all when the rule that filed it is gone: the item is theirs next time. Dead: never placed
+        or waiting, shadowed ``TRIALS`` times or more, and not holding. Null facts are absent; an item without a rule was filed by one that is gone.
         """
-        cols = self.evaluations(facts_of_frame(df), confidence, platform)
-        winner = F.coalesce(*[F.when(c["matched"], F.lit(k)) for k, c in enumerate(cols)])
-        rows = df.select(winner.alias("winner"), F.array(*[c["matched"] for c in cols]).alias("_m")).select("winner", F.posexplode("_m").alias("k", "hit")).where("hit")
-        pairs = rows.groupBy("k", "winner").agg(F.count(F.lit(1)).alias("n"))
+        facts = {k: v for k, v in facts_of_frame(filed).items() if k != rule_col}
+        held = F.array(*[compile_condition(r.condition, facts)[0] for r in self.rules])
+        position = F.create_map(*[F.lit(x) for k, r in enumerate(self.rules) for x in (r.name, k)])
+        rows = filed.select(F.element_at(position, F.col(rule_col)).alias("winner"), F.posexplode(held).alias("k", "hit"))
+        placed = F.coalesce(F.col("winner") == F.col("k"), F.lit(False))
+        rows = rows.where(F.col("hit") | placed).withColumn("placed", placed)
+        pairs = rows.groupBy("k", "winner", "placed").agg(F.count(F.lit(1)).alias("n"))
+        above = F.coalesce(F.col("winner") < F.col("k"), F.lit(False))
+        of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0)).cast("long")
         per = pairs.groupBy("k").agg(
-            F.sum(F.when(F.col("winner") == F.col("k"), F.col("n")).otherwise(0)).alias("placed"),
-            F.sum(F.when(F.col("winner") < F.col("k"), F.col("n")).otherwise(0)).alias("shadowed"),
-            F.max(F.when(F.col("winner") < F.col("k"), F.struct("n", (-F.col("winner")).alias("w")))).alias("_by"),
-            F.sum("n").alias("matched"),
+            of(F.col("placed")).alias("placed"), of(above).alias("shadowed"), of(~F.col("placed") & ~above).alias("waiting"),
+            F.max(F.when(above, F.struct("n", (-F.col("winner")).alias("w")))).alias("_by"),
         )
-        known = df.sparkSession.createDataFrame([(k, r.name, r.holding) for k, r in enumerate(self.rules)], "k int, rule string, holding boolean")
+        known = filed.sparkSession.createDataFrame([(k, r.name, r.holding) for k, r in enumerate(self.rules)], "k int, rule string, holding boolean")
         name_of = F.element_at(names(*[r.name for r in self.rules]), (F.lit(1) - F.col("_by.w")).cast("int"))
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        return known.join(per, "k", "left").select(
-            "k", "rule", zero(F.when(~F.col("holding"), F.col("placed"))).alias("placed"), zero(F.col("shadowed")).alias("shadowed"),
-            F.when(F.col("_by").isNotNull(), name_of).alias("shadowed_by"), zero(F.when(F.col("holding"), F.col("placed"))).alias("waiting"),
-            zero(F.col("matched")).alias("matched"), (zero(F.col("placed")) == 0).alias("dead"),
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+        dead = ~F.col("holding") & (zero("placed") == 0) & (zero("waiting") == 0) & (zero("shadowed") >= TRIALS)
+        return known.join(F.broadcast(per), "k", "left").select(
+            "k", "rule", zero("placed").alias("placed"), zero("shadowed").alias("shadowed"),
+            F.when(F.col("_by").isNotNull(), name_of).alias("shadowed_by"), zero("waiting").alias("waiting"), dead.alias("dead"),
         )
 
     def reachability(self, df: DataFrame, confidence=None, least: int = 3) -> DataFrame:

@@ -90,6 +90,7 @@ WITH v AS (SELECT 'p_brand' AS fact, p_brand AS value, count(*) AS n FROM part G
 a(rule, fact, wanted) AS (VALUES ('brand', 'p_brand', 'brand 13'), ('brand', 'p_name', 'green')),
 p AS (SELECT *, regexp_replace(lower(wanted), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS y FROM v JOIN a USING (fact))
 SELECT rule, fact, wanted, value, n FROM p WHERE length(x) >= 3 AND length(y) >= 3 AND (contains(x, y) OR contains(y, x))
+  AND NOT EXISTS (SELECT 1 FROM part WHERE lower(trim(p_brand)) = 'brand 13' OR lower(trim(p_name)) = 'green')
   AND NOT EXISTS (SELECT 1 FROM p q WHERE q.fact = p.fact AND q.wanted = p.wanted AND lower(trim(q.value)) = lower(trim(q.wanted)))
 """
 

@@ -147,25 +147,32 @@ FROM x
 
 
 def rule_usage_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule placed, shadowed or kept waiting over all documents."""
-    return RULES.usage(documents_with_labels(spark, sf_dir)).select("rule", "placed", "shadowed", "shadowed_by", "waiting", "matched", "dead")
+    """What each rule placed, lost to rules above it or may take next time, over documents as a ledger has them filed."""
+    by = F.array(*map(F.lit, ("rejected", "good english", "graded", "the rest", "old rule")))
+    at = F.when(F.col("lang").isin("de", "fr"), F.col("doc_id") % 3).otherwise(F.col("doc_id") % 5)
+    filed = documents_with_labels(spark, sf_dir).withColumn("filed_by", F.element_at(by, (at + 1).cast("int")))
+    return RULES.usage(filed, "filed_by").drop("k")
 
 
 RULE_USAGE_SQL = f"""
 WITH {_ITEMS}, m AS (
-    SELECT coalesce(toxic = 1, false) AS r0, coalesce(quality = 1, false) AND coalesce(lower(lang) = 'en', false) AND size > 1024 AS r1,
-           quality IS NOT NULL AND size >= 512 AS r2, false AS r3, NOT coalesce(toxic = 1, false) AND size BETWEEN 2048 AND 65536 AS r4
+    SELECT ['rejected', 'good english', 'graded', 'the rest', 'old rule'][(CASE WHEN lang IN ('de', 'fr') THEN doc_id % 3 ELSE doc_id % 5 END + 1)::INT] AS filed_by,
+           [coalesce(toxic = 1, false), coalesce(quality = 1 AND lower(lang) = 'en' AND size > 1024, false), quality IS NOT NULL AND coalesce(size >= 512, false),
+            coalesce(lower(lang) IN ('de', 'fr'), false), NOT coalesce(toxic = 1, false) AND coalesce(size BETWEEN 2048 AND 65536, false)] AS held
     FROM items
-), w AS (SELECT *, CASE WHEN r0 THEN 0 WHEN r1 THEN 1 WHEN r2 THEN 2 WHEN r4 THEN 4 END AS winner FROM m
-), long AS (
-    SELECT winner, k, [r0, r1, r2, r3, r4][k + 1] AS hit FROM w, range(5) t(k)
 ), known(k, rule, holding) AS (VALUES (0, 'rejected', false), (1, 'good english', false), (2, 'graded', false), (3, 'needs topic', false), (4, 'the rest', true)),
-by_pair AS (SELECT k, winner, count(*) AS n FROM long WHERE hit GROUP BY k, winner),
-best AS (SELECT k, winner FROM by_pair WHERE winner < k QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, winner) = 1),
-per AS (SELECT k, sum(n) FILTER (WHERE winner = k) AS placed, sum(n) FILTER (WHERE winner < k) AS shadowed, sum(n) AS matched FROM by_pair GROUP BY k)
-SELECT known.rule, CASE WHEN known.holding THEN 0 ELSE coalesce(placed, 0) END::BIGINT AS placed, coalesce(shadowed, 0)::BIGINT AS shadowed, b.rule AS shadowed_by,
-       CASE WHEN known.holding THEN coalesce(placed, 0) ELSE 0 END::BIGINT AS waiting, coalesce(matched, 0)::BIGINT AS matched, coalesce(placed, 0) = 0 AS dead
-FROM known LEFT JOIN per ON per.k = known.k LEFT JOIN best ON best.k = known.k LEFT JOIN known b ON b.k = best.winner
+each AS (
+    SELECT known.k, known.rule, known.holding, w.rule AS winner, w.k AS wk, filed_by = known.rule AS placed, held[known.k + 1] AND filed_by <> known.rule AS lost
+    FROM m CROSS JOIN known LEFT JOIN known w ON w.rule = filed_by
+), by_winner AS (
+    SELECT k, winner, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(wk)) AS nth FROM each WHERE lost AND wk < k GROUP BY k, winner
+), per AS (
+    SELECT k, rule, holding, count(*) FILTER (WHERE placed) AS placed, count(*) FILTER (WHERE lost AND coalesce(wk < k, false)) AS shadowed,
+           count(*) FILTER (WHERE lost AND NOT coalesce(wk < k, false)) AS waiting
+    FROM each GROUP BY k, rule, holding
+)
+SELECT rule, placed, shadowed, winner AS shadowed_by, waiting, NOT holding AND placed = 0 AND waiting = 0 AND shadowed >= 3 AS dead
+FROM per LEFT JOIN (SELECT * FROM by_winner WHERE nth = 1) USING (k)
 """
 
 

@@ -36,7 +36,9 @@ def read_items(spark: SparkSession, root: str, max_depth: int = 3, with_bytes: b
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if with_bytes else []))
-    inside = F.regexp_replace(F.col("path"), rf"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+    inside = F.substr(F.col("path"), F.lit(len(whole) + 2))  # the root is a prefix of every path, whatever characters it has
     parts = F.split(inside, "/")
     packaged = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.lower(p).rlike("(" + "|".join(x.replace(".", r"\.") for x in PACKAGES) + ")$"))
     kept = files.where((F.size(parts) <= max_depth + 1) & ~packaged & ~F.exists(parts, lambda p: p.startswith(".")))

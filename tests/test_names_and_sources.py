@@ -45,3 +45,11 @@ def test_files_of_a_folder(spark, tmp_path):
     assert set(got) == {"a.png", "b.jpg", "c (1).txt", "noext"}
     assert (got["b.jpg"].format, got["b.jpg"].extension_lies, got["a.png"].extension_lies) == ("png", False, False)
     assert (got["c (1).txt"].kind, got["c (1).txt"].copy_marker, got["noext"].kind, got["a.png"].size_class) == ("document", "(1)", "unknown", "tiny")
+
+
+def test_a_root_with_odd_characters_is_a_plain_prefix(spark, tmp_path):
+    root = tmp_path / "main" / "in+(x)"
+    for path in ("main/a.png", "1/2/3/4/e.txt", ".hidden/in+(x)/b.png"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(PNG)
+    assert {r.name for r in read_items(spark, str(root)).collect()} == {"a.png"}

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import hosts, text
+from factloom.functions.language import compile_condition, facts_of_frame, parse
 from factloom.operators import evidence, grouping, induction
+from factloom.operators.rules import load_rules
 from factloom.streaming.settle import settle
 
 
@@ -92,3 +94,22 @@ def test_settling_starts_again_on_change(spark, tmp_path):
     q.stop()
     got = sorted((r.key, r.mark, r.since.second, r.settled.second) for r in spark.table("settled").collect())
     assert got == [("a", "x", 0, 10), ("a", "z", 21, 40), ("b", "y", 5, 16)]
+
+
+def test_usage_counts_losses_to_rules_above_and_waits_for_the_rest(spark):
+    rules = load_rules("[rule: a]\nwhen = x > 5\ninto = /a\n[rule: b]\nwhen = x > 1\ninto = /b\n[rule: c]\nwhen = x > 8\ninto = /c\n[rule: last]\nwhen = x > 0\ninto = /d\nholding = yes")
+    rows = [(9, "a"), (9, "a"), (9, "b"), (7, "b"), (3, "gone"), (2, None), (None, "b"), (0, "last")]
+    got = {r.rule: tuple(r)[2:] for r in rules.usage(spark.createDataFrame(rows, "x int, filed string"), "filed").collect()}
+    assert got == {
+        "a": (2, 0, None, 2, False), "b": (3, 2, "a", 2, False), "c": (0, 3, "a", 0, True), "last": (1, 4, "a", 2, False),
+    }
+    assert rules.usage(spark.createDataFrame([], "x int, filed string"), "filed").where("placed + shadowed + waiting > 0 or dead").count() == 0
+
+
+def test_conditions_grow_in_proportion_and_rest_on_what_decided(spark):
+    frame = spark.createDataFrame([(3, "x", None)], "a int, b string, c string")
+    facts = facts_of_frame(frame)
+    size = lambda n: len(frame.select(*compile_condition(parse(" and ".join(f"(a > {k} or b = y{k})" for k in range(n))), facts))._jdf.queryExecution().optimizedPlan().toString())
+    assert size(30) < 3.5 * size(10)
+    held, on = compile_condition(parse("not (c is set) and (a > 5 or b = x) and a > 9 and c = z"), facts)
+    assert tuple(frame.select(held, on).first()) == (False, ["b", "a"])
