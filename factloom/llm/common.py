@@ -83,17 +83,17 @@ def _clear_scratch() -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table in the shared folder and read it back, which cuts its lineage for good.
 
-    What was shuffled for it isn't needed again, as the table is whole, so its files go at once.
+    ``codec`` compresses its files; zstd is worth its time for binary values, of which snappy makes nothing less. What was shuffled for it isn't needed again, as the table is whole, so its files go at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from factloom.llm.common import documents, materialise
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.payload_digests(materialise(flac.texts_to_flac(documents(spark, sf_dir)), "flac-media"))
+    return flac.payload_digests(materialise(flac.texts_to_flac(documents(spark, sf_dir)), "flac-media", "zstd"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
