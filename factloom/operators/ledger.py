@@ -10,12 +10,12 @@ MOVING = ("move", "rename", "trash")
 
 
 def placed_moves(moves: DataFrame) -> DataFrame:
-    """Moves that are done, stand, and whose destination no later standing move took away again.
+    """Moves that are done or copied, stand, and whose destination no later standing move took away again.
 
     The anti join has an equality on the path, so it is a hash join of the moves with themselves; the order is a residual.
     """
-    standing = moves.where((F.col("status") == "done") & F.col("undone_at").isNull())
-    later = standing.where(F.col("operation").isin(*MOVING)).select(F.col("source").alias("_from"), F.col("id").alias("_id"))
+    standing = moves.where(F.col("status").isin("done", "copied") & F.col("undone_at").isNull())
+    later = standing.where((F.col("status") == "done") & F.col("operation").isin(*MOVING)).select(F.col("source").alias("_from"), F.col("id").alias("_id"))
     return standing.join(later, (F.col("destination") == F.col("_from")) & (F.col("_id") > F.col("id")), "left_anti")
 
 

@@ -167,6 +167,46 @@ class RuleSet:
             first(lambda r, c: c["destination"]).alias("destination"), F.when(won.isNull(), missed).alias("near_miss"),
         )
 
+    def explain(self, df: DataFrame, confidence=None, platform: str = "linux", keep: tuple[str, ...] = ()) -> DataFrame:
+        """The kept columns and (k, rule, matched, reason, destination) of each rule that is tried, in order.
+
+        The first rule that matches and has ``stop`` is the last one tried; a matching rule without it lets the next be tried as well.
+        """
+        tried = [
+            F.struct(F.lit(k).alias("k"), F.lit(r.name).alias("rule"), e["matched"].alias("matched"), e["reason"].alias("reason"), e["destination"].alias("destination"))
+            for k, (r, e) in enumerate(zip(self.rules, self.evaluations(facts_of_frame(df), confidence, platform)))
+        ]
+        each = df.select(*keep, F.array(*tried).alias("_each"))
+        ends = [F.when(F.col("_each")[k]["matched"], F.lit(k + 1)) for k, r in enumerate(self.rules) if r.stop]
+        return each.select(*keep, F.inline(F.slice("_each", F.lit(1), F.coalesce(*ends, F.lit(len(tried))))))
+
+    def file(self, df: DataFrame, confidence=None, platform: str = "linux", keep: tuple[str, ...] = (), gather_into: str | None = None) -> DataFrame:
+        """The kept columns and (rule, operation, destination, holding, skipped): what is done with each item.
+
+        An item that no rule decides is skipped with the reason of the nearest miss, or, with ``gather_into``, moved there under
+        its name, held, by the rule ``[unsorted]``; a relative folder lies in the item's ``source_root``, and an item without one is skipped.
+        An item that a rule leaves in place is skipped.
+        """
+        root = [F.col("source_root").alias("_root")] if "source_root" in df.columns else [F.lit(None).cast("string").alias("_root")]
+        named = [paths.sanitise(F.col("name")).alias("_name") if "name" in df.columns else F.lit("_").alias("_name")]
+        decided = self.decide(df.select("*", *root, *named), confidence, platform, (*keep, "_root", "_name"))
+        none, nothing = F.col("rule").isNull(), F.lit(None).cast("string")
+        left = F.coalesce(F.col("mode") == "leave", F.lit(False))
+        into = nothing
+        if gather_into is not None:
+            folder = F.lit(gather_into) if gather_into.startswith("/") else F.concat(F.col("_root"), F.lit(f"/{gather_into}"))
+            into = F.concat(folder, F.lit("/"), F.coalesce("_name", F.lit("_")))
+        gathered = none & into.isNotNull()
+        holds = F.col("rule").isin(*[r.name for r in self.rules if r.holding]) if any(r.holding for r in self.rules) else F.lit(False)
+        why = F.when(none, F.coalesce(F.concat(F.lit("no rule matched (closest: "), F.col("near_miss"), F.lit(")")), F.lit("no rule matched")))
+        return decided.select(
+            *keep, F.when(gathered, "[unsorted]").otherwise(F.col("rule")).alias("rule"),
+            F.when(gathered, "move").when(~left, F.col("mode")).alias("operation"),
+            F.when(gathered, into).when(~left, F.col("destination")).alias("destination"),
+            (gathered | (F.coalesce(holds, F.lit(False)) & ~left)).alias("holding"),
+            F.when(~gathered, why.when(left, F.concat(F.lit("rule "), F.col("rule"), F.lit(" says leave")))).alias("skipped"),
+        )
+
     def usage(self, filed: DataFrame, rule_col: str) -> DataFrame:
         """(k, rule, placed, shadowed, shadowed_by, waiting, dead) of each rule over items that were filed, ``rule_col`` names by which rule.
 
