@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import string
 import tempfile
 import uuid
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,15 @@ def drop_what_is_kept() -> None:
     """Empty those dictionaries; tasks that need much memory themselves begin with this, as processes serve many operators."""
     for kept in kept_in_process:
         kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can; a worker that has served a heavy operator holds on to it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 _scratch: list[str] = []

@@ -195,7 +195,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     By default groups are linked by fingerprints within two bits. With a ``similarity`` they are
     linked by that Jaccard similarity of shingles of ``width`` words: at 0.8, texts differ by some ten bits
-    of 64, which no segments can index, so an exact join finds these (``similar``).
+    of 64, so segments of several fingerprints link what they reach and an exact join finds the rest (``similar``).
     """
     if similarity is not None:
         return similar.drop_similar(df, id_col, text_col, similarity, width)

@@ -1,13 +1,15 @@
-"""Near copies by exact shingle similarity: all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by SimHash and an exact join for what it leaves apart.
 
-Candidates come from a prefix join. In any one order of all shingles, two sets of
+Sets are linked by SimHash first: what deletion variants of their fingerprints bring together
+(``variants``) is verified by whole sets, and links make groups. Fingerprints can't promise to reach a pair, so
+pairs of different groups are then sought by a prefix join, which loses none. In any one order of all shingles, two sets of
 which one has a shingles and that reach the threshold t share a shingle among the first
 a - ceil(t a) + 1 of each, so meeting on these loses no pair. The order puts
 shingles that are common in a sample of the texts last, which keeps buckets
 small; it bears on the cost alone, never on the pairs. Equal sets are one beforehand,
 and only shingles that two prefixes or more hold travel on.
 
-Each set is first held against a few others, those of some members of its buckets with
+In that join each set is first held against a few others, those of some members of its buckets with
 which it shares most; this joins large groups at a linear cost. Then pairs of one
 bucket that no link joins yet are sought. Sizes and places in the order tell which can still
 reach the threshold, and so do parity bitmaps, a short one within the join and a longer one
@@ -26,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, drop_what_is_kept, materialise, one_row_each
+from factloom.llm import variants
+from factloom.llm.common import discard, drop_what_is_kept, give_back, materialise, one_row_each
 from factloom.llm.graph import components
 from factloom.llm.wordhash import mix, ngrams
 
@@ -90,7 +93,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.array(np.concatenate(parts).view(np.int64)))
 
 
-SETS = "doc_id long, key long, n int, prefix array<long>, bits array<long>, sketch array<long>"
+SETS = "doc_id long, key long, n int, prefix array<long>, bits array<long>, sketch array<long>, prints array<long>"
 
 
 def _prefixes(common: np.ndarray, rank: np.ndarray, threshold: float, width: int):
@@ -104,10 +107,10 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, threshold: float, width: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list[int], done: list[tuple]) -> pa.RecordBatch:
-            keys, sizes, prefixes, bits, sketches = zip(*done)
+            keys, sizes, prefixes, bits, sketches, prints = zip(*done)
             return pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(prefixes), _lists(bits), _lists(sketches)],
-                names=["doc_id", "key", "n", "prefix", "bits", "sketch"],
+                [b.column(0).take(pa.array(rows)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(prefixes), _lists(bits), _lists(sketches), _lists(prints)],
+                names=["doc_id", "key", "n", "prefix", "bits", "sketch", "prints"],
             )
 
         drop_what_is_kept()
@@ -115,13 +118,14 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, threshold: float, width: int
             rows, done, held = [], [], 0
             for i, s in _each(b.column(1), width):
                 rows.append(i)
-                done.append((_key(s), len(s), prefix(s), parity_bits(s), parity_bits(s, 64 * SKETCH)))
+                done.append((_key(s), len(s), prefix(s), parity_bits(s), parity_bits(s, 64 * SKETCH), variants.fingerprints(s)))
                 held += len(s)
                 if held >= 1 << 20:
                     yield batch(rows, done)
                     rows, done, held = [], [], 0
             if rows:
                 yield batch(rows, done)
+        give_back()
 
     return run
 
@@ -175,7 +179,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = materialise(docs.mapInArrow(_prefixes(*_common(docs, width), threshold, width), SETS), "shingle-prefixes")
     rows = materialise(every.select("doc_id", "key"), "set-keys")
-    sets = materialise(every.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "sketch")]), "distinct-sets")
+    sets = materialise(every.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "sketch", "prints")]), "distinct-sets")
     discard(every)
     least = sets.select("key", "least")
     placed = sets.select("key", "n", F.posexplode("prefix").alias("at", "token"))
@@ -208,10 +212,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return held
 
     col = F.col
+    near = verified(variants.candidates(sets.select("key", "prints")), "fingerprint-links")
+    nearest = materialise(components(near), "fingerprint-groups")
     stars = shared.join(members, "token").where((col("key") != col("first.key")) & enough(col("n"), col("at"), col("first.n"), col("first.at")))
     stars = stars.groupBy(col("first.key").alias("a"), col("key").alias("b")).agg(F.count(F.lit(1)).alias("_c"))
     closest = stars.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("_c", "a")), False), 1, CLOSEST).alias("_s")).select("b", F.explode("_s.a").alias("a"))
-    links = verified(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-links")
+    of = lambda side: nearest.select(col("node").alias(side), col("component").alias(f"_g{side}"))
+    apart = closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.where(F.coalesce("_ga", "a") != F.coalesce("_gb", "b")).select("a", "b")
+    links = materialise(near.unionByName(verified(apart, "star-links")), "first-links")
     joined = materialise(components(links), "star-groups")
     grouped = sets.select("key", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH)]).join(joined, sets.key == joined.node, "left").drop("node")
     grouped = grouped.withColumn("group", F.coalesce("component", "key")).drop("component")
