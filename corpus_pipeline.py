@@ -32,7 +32,8 @@ def cut_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Fingerprints within a few bits find hardly any of these, so candidates come from an exact join (see the README).
+    Links come from SimHash fingerprints by deletion variants and are verified by whole sets; an exact join finds
+    what fingerprints leave apart (see the README).
     """
     return simhash.drop_near_duplicates(docs, width=5, similarity=0.8).select(*COLUMNS)
 
