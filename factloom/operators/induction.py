@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.terms import heading_terms as heading_terms  # terms are found by counting, too
+
 MIN_COVERAGE, MAX_GROUPS, MIN_CONCENTRATION, MIN_OCCURRENCES = 0.02, 600, 0.4, 3
 MIN_SUPPORT, MIN_PRECISION = 3, 0.8
 
@@ -106,19 +108,6 @@ def convention_category(names: DataFrame, stem_col: str, fields: int) -> DataFra
     return per.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 
-def heading_terms(headings: DataFrame, key: str, heading_col: str, min_occurrences: int = MIN_OCCURRENCES, max_share: float = 0.6, cap: int = 40) -> DataFrame:
-    """(term, documents, position): words that enough headings hold and not too many, those that stand first first; at most ``cap``.
-
-    Counts are document frequencies over all headings, and the position is a word's mean first place.
-    """
-    words = headings.select(key, F.posexplode(F.split(F.lower(heading_col), r"(?U)\s+")).alias("at", "term")).where(F.col("term").rlike(r"^\p{L}{3,}$"))
-    firsts = words.groupBy(key, "term").agg(F.min("at").alias("at"))
-    total = headings.where(F.col(heading_col) != "").agg(F.count(F.lit(1)).alias("total"))
-    terms = firsts.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.avg("at").alias("position")).crossJoin(F.broadcast(total))
-    kept = terms.where((F.col("documents") >= min_occurrences) & (F.col("documents") <= max_share * F.col("total")))
-    return kept.orderBy("position", F.desc("documents"), "term").limit(cap).select("term", "documents", "position")
-
-
 def shared_phrases(headings: DataFrame, key: str, heading_col: str, word: str, least_share: float = 0.9, longest: int = 6) -> DataFrame:
     """(phrase, documents): the longest runs of up to six tokens around a word that nearly all headings with it share, three at least."""
     having = headings.select(key, F.split(F.lower(heading_col), r"(?U)\s+").alias("t")).where(F.array_contains("t", word))

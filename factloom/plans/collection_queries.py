@@ -155,10 +155,48 @@ _HEADINGS = r"""headings AS (
           FROM (SELECT doc_id, [x for x in regexp_split_to_array(left(text, 500), '\s+') if x <> ''] AS tokens FROM documents))
 )"""
 HEADING_TERMS_SQL = rf"""
-WITH {_HEADINGS}, w AS (SELECT doc_id, unnest(string_split(lower(heading), ' ')) AS term, generate_subscripts(string_split(lower(heading), ' '), 1) - 1 AS pos FROM headings),
-f AS (SELECT doc_id, term, min(pos) AS pos FROM w WHERE regexp_full_match(term, '\pL{{3,}}') GROUP BY 1, 2),
-t AS (SELECT count(*) AS total FROM headings WHERE heading <> '')
-SELECT term, count(*) AS documents, avg(pos) AS position FROM f, t GROUP BY term, total HAVING count(*) >= 3 AND count(*) <= 0.6 * total ORDER BY position, documents DESC, term LIMIT 40
+WITH RECURSIVE {_HEADINGS}, used AS (SELECT doc_id, heading FROM headings WHERE heading <> ''),
+words AS (SELECT doc_id, unnest(regexp_extract_all(heading, '[\pL\p{{Nl}}\p{{No}}]{{3,}}')) AS word, generate_subscripts(regexp_extract_all(heading, '[\pL\p{{Nl}}\p{{No}}]{{3,}}'), 1) - 1 AS pos FROM used),
+keyed AS (SELECT doc_id, word, pos, lower(strip_accents(word)) AS term FROM words),
+parts AS (
+    SELECT doc_id, unnest(regexp_split_to_array(chunk, '[_.\-]+')) AS part FROM (SELECT doc_id, unnest(regexp_split_to_array(heading, '\s+')) AS chunk FROM used)
+    WHERE NOT regexp_matches(chunk, '(^|[^-])[/\\]|@|[\pL\pN_]\.[\pL\pN_]+\.[\pL\pN_]')
+), classed AS (SELECT doc_id, part, regexp_replace(regexp_replace(regexp_replace(part, '[^\pL\p{{Nd}}]', '-', 'g'), '\pL+', 'a', 'g'), '\p{{Nd}}+', '0', 'g') AS c FROM parts),
+bare AS (
+    SELECT DISTINCT doc_id, lower(strip_accents(unnest(regexp_extract_all(part, '[\pL\p{{Nl}}\p{{No}}]{{3,}}')))) AS term FROM classed
+    WHERE len([i FOR i IN range(1, len(c)) IF c[i:i + 1] IN ('a0', '0a')]) < 3
+), firsts AS (SELECT doc_id, term, min(pos) AS pos FROM keyed GROUP BY 1, 2),
+counted AS (
+    SELECT term, count(*) AS n, list_sort(list(pos))[count(*) // 2 + 1] AS middle, avg(pos) AS position, count(b.doc_id) AS bare
+    FROM firsts LEFT JOIN bare b USING (doc_id, term) GROUP BY term
+), spelled AS (SELECT term, word, count(*) AS c FROM keyed GROUP BY 1, 2),
+named AS (
+    SELECT term, first(word ORDER BY c DESC, NOT (word = upper(word[1]) || lower(word[2:]) AND word <> lower(word)), word = upper(word) AND word <> lower(word), word) AS spelling,
+           coalesce(sum(c) FILTER (WHERE regexp_matches(word, '\p{{Lu}}')), 0) * 2 > sum(c) OR lower(min(word)) = upper(min(word)) AS titled
+    FROM spelled GROUP BY term
+), fit AS (
+    SELECT term, n, middle, position, spelling FROM counted JOIN named USING (term)
+    WHERE bare >= 3 AND n >= 3 AND n <= greatest(3.0, (SELECT count(*) FROM used) * 0.6::DOUBLE) AND middle < 3 AND titled
+      AND NOT regexp_matches(spelling, '\p{{No}}') AND regexp_matches(spelling, '\pL')
+      AND (length(regexp_replace(spelling, '\P{{Latin}}', '', 'g')) < 0.8 * length(regexp_replace(spelling, '\PL', '', 'g')) OR regexp_matches(spelling, '[A-Za-z]'))
+), enough AS (SELECT * FROM fit WHERE (SELECT count(*) FROM fit) >= 3),
+pairs AS (
+    SELECT x.term AS a, y.term AS b, count(*) AS shared FROM firsts x JOIN firsts y USING (doc_id)
+    WHERE x.term IN (SELECT term FROM enough) AND y.term IN (SELECT term FROM enough) AND x.term <> y.term GROUP BY 1, 2
+), kept0 AS (
+    SELECT *, row_number() OVER (ORDER BY position, n DESC, term) AS k FROM enough e WHERE NOT EXISTS (
+        SELECT 1 FROM pairs p JOIN enough o ON o.term = p.b WHERE p.a = e.term AND o.n > e.n AND e.n - p.shared <= 0.09999999999999998::DOUBLE * e.n AND o.middle <= e.middle)
+), earlier AS (
+    SELECT x.k, list(y.k) FILTER (WHERE x.n - p.shared <= 0.09999999999999998::DOUBLE * x.n) AS covering, list(y.k) AS sharing
+    FROM kept0 x JOIN pairs p ON p.a = x.term JOIN kept0 y ON y.term = p.b WHERE y.k < x.k AND p.shared >= 0.25 * x.n GROUP BY x.k
+), picks(k, claimed) AS (
+    SELECT 0::BIGINT, []::BIGINT[]
+    UNION ALL
+    SELECT p.k + 1, CASE WHEN len(list_intersect(coalesce(e.covering, []), p.claimed)) > 0 OR len(list_intersect(coalesce(e.sharing, []), p.claimed)) >= 2
+                         THEN p.claimed ELSE list_append(p.claimed, p.k + 1) END
+    FROM picks p LEFT JOIN earlier e ON e.k = p.k + 1 WHERE p.k < (SELECT count(*) FROM kept0)
+)
+SELECT spelling AS term, n AS documents, position FROM kept0, (SELECT claimed FROM picks ORDER BY k DESC LIMIT 1) WHERE list_contains(claimed, k) ORDER BY position, n DESC, kept0.term LIMIT 40
 """
 
 
