@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, scratch_path
+from factloom.llm.common import give_back, materialise, scratch_path, small_table
 from factloom.llm.tokenizing import tokenizer
 
 SEQUENCE, ROWS = 2048, 64
@@ -142,6 +142,7 @@ def _writing(folder: str, vocabulary: str, end_id: int):
             yield pa.RecordBatch.from_pydict(
                 {"file": [number], "path": [scheme + path], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_tokens]}
             )
+        give_back()
 
     return run
 
@@ -167,7 +168,7 @@ def write_tokens(df: DataFrame, vocabulary: str, folder: str, end_id: int = END_
     for r in counts:
         starts.append((r.file, r.path, r.n_docs, r.n_tokens, at))
         at += r.n_tokens
-    return spark.createDataFrame(starts, MANIFEST + ", start long")
+    return small_table(spark, starts, MANIFEST + ", start long")
 
 
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +112,13 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a list that the driver holds. It goes to the JVM as Arrow: rows given as a list are read by Python workers, of a second pool beside that of mapInArrow."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = zip(*rows) if rows else [[]] * len(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind))
+
+
 def one_row_each(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of the rows that share an id, that whose text has the smallest hash; the other columns of equal texts may come from any of them."""
     free = "_" * (1 + max(map(len, df.columns)))  # no column is called so

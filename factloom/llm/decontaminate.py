@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise
+from factloom.llm.common import materialise, small_table
 from factloom.llm.wordhash import hashed_words, ngrams, text_slices
 
 SEED_WORDS, THRESHOLD = 5, 0.8
@@ -266,7 +266,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         words_of = lambda b, i: own.words[own.first[b.column(0)[i].as_py()]:own.first[b.column(0)[i].as_py() + 1]]
         aligned = lambda distinct: distinct.mapInArrow(_aligned(words_of, threshold), ALIGNED)
         found = _leaks_of(docs.mapInArrow(_passages(own), PASSAGES), aligned)
-        named = F.broadcast(spark.createDataFrame(list(enumerate(ids)), "item long, item_id long"))
+        named = F.broadcast(small_table(spark, list(enumerate(ids)), "item long, item_id long"))
     else:
         rows = items.select("i", F.xxhash64("i", "t").alias("item"), "t").mapInArrow(_item_rows(threshold), "item_id long, item long, words array<long>, n int, seeds array<long>")
         rows = materialise(rows.where(F.size("words") > 0), "items")

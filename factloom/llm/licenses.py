@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, materialise, whole_text
+from factloom.llm.common import ascii_lower, materialise, small_table, whole_text
 
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 THRESHOLD = 0.8
@@ -145,7 +145,7 @@ def _blocks_of(scanned: DataFrame, own: _Templates) -> DataFrame:
         held = sorted(rank[x] for x in tokens)
         rows += [(w, k, label, i, len(ordered), need, held, own.spread[k], tokens) for i, w in enumerate(ordered[:len(ordered) - need + 1])]
     kinds = "token string, template int, label string, place int, size int, need int, ranks array<int>, spread int, own array<string>"
-    prefixes = F.broadcast(spark.createDataFrame(rows, kinds))
+    prefixes = F.broadcast(small_table(spark, rows, kinds))
     first = sorted({r[0] for r in rows})
 
     ranks = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])

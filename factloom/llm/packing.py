@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import materialise
+from factloom.llm.common import give_back, materialise, small_table
 from factloom.llm.tokenizing import tokenizer
 
 CAPACITY, END_ID = 2048, 0
@@ -182,6 +182,7 @@ def _cutting(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
                 names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        give_back()
 
     return run
 
@@ -217,7 +218,7 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int =
     spark = df.sparkSession
     sizes = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length
     dealt = [(r.length, max(min(FEW_PARTS, -(-r.n // LEAST_PART)), -(-r.n // MOST_PART))) for r in sizes]
-    dealt = F.broadcast(spark.createDataFrame(dealt, "length long, _parts int"))
+    dealt = F.broadcast(small_table(spark, dealt, "length long, _parts int"))
     cut = cut.join(dealt, "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.col("_parts")).cast("int"))
     counts = cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n"))
     sums = [(r.length, r._part, r.n) for r in counts.collect()]  # capacity x FEW_PARTS rows, and one for each MOST_PART pieces
@@ -227,7 +228,7 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int =
         starts.append((length, part, histogram[length]))
         histogram[length] += n
     places = Places(plan_packing(dict(histogram), capacity))
-    offsets = F.broadcast(spark.createDataFrame(starts, "length long, _part int, _start long"))
+    offsets = F.broadcast(small_table(spark, starts, "length long, _part int, _start long"))
     inside = W.partitionBy("length", "_part").orderBy("doc_id", "copy", "piece")
     ranked = (
         cut.withColumn("_k", F.row_number().over(inside) - 1).join(offsets, ["length", "_part"])

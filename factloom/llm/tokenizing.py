@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
 
@@ -61,20 +62,19 @@ class WordCachedTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's other tasks have the other cores
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = special_as_text
-        special = [] if special_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        self.path, self.special_as_text = path, special_as_text
         self.pieces = Tokenizer.from_file(path)
         self.pieces.encode_special_tokens = True
-        if self.whole.normalizer is None and isinstance(self.whole.pre_tokenizer, pre_tokenizers.ByteLevel):
+        special = [] if special_as_text else [t.content for t in self.pieces.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        if self.pieces.normalizer is None and isinstance(self.pieces.pre_tokenizer, pre_tokenizers.ByteLevel):
             self.split, self.fold = _BYTE_LEVEL.findall, None
-        elif "Lowercase" in repr(self.whole.normalizer) and isinstance(self.whole.pre_tokenizer, pre_tokenizers.Sequence):
+        elif "Lowercase" in repr(self.pieces.normalizer) and isinstance(self.pieces.pre_tokenizer, pre_tokenizers.Sequence):
             self.split, self.fold = _WORD_END.findall, str.lower
         else:
             self.split = None
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.size = self.whole.get_vocab_size(with_added_tokens=True)
+        self.size = self.pieces.get_vocab_size(with_added_tokens=True)
         vocabulary = self.pieces.get_vocab(with_added_tokens=True)
         suffix = getattr(self.pieces.model, "end_of_word_suffix", None) or ""
         #: How many bytes a token stands for, by its id: a byte-level vocabulary writes each byte as a character.
@@ -83,6 +83,15 @@ class WordCachedTokenizer:
             self.n_bytes[k] = len(token.removesuffix(suffix))
         self.kept = _Kept()
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer as its file has it, loaded when the first odd text comes; most tables have none."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = self.special_as_text
+        return found
+
     def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), PIECES_A_CALL):
             some = new[i:i + PIECES_A_CALL]
