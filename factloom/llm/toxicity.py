@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import drop_what_is_kept, materialise
+from factloom.llm.common import discard, drop_what_is_kept, give_back, materialise
 from factloom.llm.wordhash import hashed_prefixes, text_slices
 
 #: Labelled examples learnt from, and bytes of their texts, at most; both bound what is broadcast.
@@ -372,6 +372,7 @@ def _scoring(shared: Broadcast, steps: tuple[np.ndarray, np.ndarray]):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"]
                 )
+        give_back()
 
     return run
 
@@ -449,7 +450,12 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     votes = own.select("key", "terms", "counts", "y").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_voting(scorer), "vote double, y int")
     steps = isotonic([(r.vote, r.y) for r in votes.where("vote is not null").collect()])  # a row for each example
 
-    return vectors.mapInArrow(_scoring(scorer, steps), f"doc_id long, score double, evidence {EVIDENCE}").select(
+    scored = materialise(vectors.mapInArrow(_scoring(scorer, steps), f"doc_id long, score double, evidence {EVIDENCE}"), "scores")
+    for shared in (vocabulary, scorer):
+        shared.destroy()
+    for table in (vectors, own, counts):
+        discard(table)
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )
 
