@@ -1,7 +1,7 @@
 """Near copies: all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by SimHash and an exact join for what it leaves apart.
 
-Sets are linked by SimHash first: what deletion variants of their fingerprints bring together
-(``variants``) is verified by whole sets, and links make groups. Fingerprints can't promise to reach a pair, so
+What deletion variants of SimHash fingerprints bring together
+(``variants``) is verified by whole sets first, and links make groups. Fingerprints can't promise to reach a pair, so
 pairs of different groups are then sought by a prefix join, which loses none. In any one order of all shingles, two sets of
 which one has a shingles and that reach the threshold t share a shingle among the first
 a - ceil(t a) + 1 of each, so meeting on these loses no pair. The order puts
@@ -9,8 +9,8 @@ shingles that are common in a sample of the texts last, which keeps buckets
 small; it bears on the cost alone, never on the pairs. Equal sets are one beforehand,
 and only shingles that two prefixes or more hold travel on.
 
-In that join each set is first held against a few others, those of some members of its buckets with
-which it shares most; this joins large groups at a linear cost. Then pairs of one
+With the fingerprints' candidates each set is also held against a few others, those of some members of its prefix
+buckets with which it shares most; this joins large groups at a linear cost. Then pairs of one
 bucket that no link joins yet are sought. Sizes and places in the order tell which can still
 reach the threshold, and so do parity bitmaps, a short one within the join and a longer one
 behind it: the bits in which two of them differ are no
@@ -212,15 +212,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return held
 
     col = F.col
-    near = verified(variants.candidates(sets.select("key", "prints")), "fingerprint-links")
-    nearest = materialise(components(near), "fingerprint-groups")
+    near = variants.candidates(sets.select("key", "prints"))
     stars = shared.join(members, "token").where((col("key") != col("first.key")) & enough(col("n"), col("at"), col("first.n"), col("first.at")))
     stars = stars.groupBy(col("first.key").alias("a"), col("key").alias("b")).agg(F.count(F.lit(1)).alias("_c"))
     closest = stars.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("_c", "a")), False), 1, CLOSEST).alias("_s")).select("b", F.explode("_s.a").alias("a"))
-    of = lambda side: nearest.select(col("node").alias(side), col("component").alias(f"_g{side}"))
-    apart = closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = apart.where(F.coalesce("_ga", "a") != F.coalesce("_gb", "b")).select("a", "b")
-    links = materialise(near.unionByName(verified(apart, "star-links")), "first-links")
+    stars = closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = verified(near.unionByName(stars).distinct(), "first-links")
     joined = materialise(components(links), "star-groups")
     grouped = sets.select("key", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH)]).join(joined, sets.key == joined.node, "left").drop("node")
     grouped = grouped.withColumn("group", F.coalesce("component", "key")).drop("component")
@@ -240,7 +237,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest = merged.groupBy("class").agg(F.min("least").alias("component_id"))
     found = rows.join(merged.join(smallest, "class").select("key", "component_id"), "key").select("doc_id", "component_id")
     found = materialise(found, "similar-groups")
-    for table in (sets, shared, known):
+    for table in (sets, shared, known, near):
         discard(table)
     return found
 

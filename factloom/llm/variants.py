@@ -22,7 +22,7 @@ from factloom.llm.common import discard, materialise
 from factloom.llm.wordhash import mix
 
 #: Fingerprints of a set, of 64 bits each, and the bits of a segment.
-PRINTS, HALF = 8, 32
+PRINTS, HALF = 2, 32
 #: Segments whose variants are shuffled at once, which bounds the disk they take.
 AT_ONCE = 2
 _SEEDS = (np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
