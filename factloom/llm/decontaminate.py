@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, small_table
+from factloom.llm.common import drop_what_is_kept, give_back, materialise, small_table
 from factloom.llm.wordhash import hashed_words, ngrams, text_slices
 
 SEED_WORDS, THRESHOLD = 5, 0.8
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Bytes of test items that are broadcast; more are joined as rows, behind a filter of so many bits (a power of two).
 PART_BYTES, FILTER_BITS = 8 << 20, 1 << 26
+#: Bytes of text whose words are hashed at once.
+SLICE = 1 << 20
 
 
 def seed_length(words: int, threshold: float = THRESHOLD) -> int:
@@ -121,13 +123,15 @@ def _passages(items: Items):
     lengths = np.diff(items.first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_what_is_kept()
         for batch in batches:
-            for b in text_slices(batch, 1):
+            for b in text_slices(batch, 1, SLICE):
                 first, words = hashed_words(b.column(1))
                 doc = np.repeat(np.arange(b.num_rows), np.diff(first))
                 at, item, seed = items.places(words, doc)
                 if len(at):
                     yield _cut(b.column(0), first, words, doc[at], at, item, lengths[item], seed)
+        give_back()
 
     return run
 
@@ -153,7 +157,7 @@ def _possible(bits: np.ndarray, lengths: list[int]):
     """(doc_id, copy, n, at, seed): the n-grams of rows (doc_id, copy, text) whose bit is set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in text_slices(batch, 2):
+            for b in text_slices(batch, 2, SLICE):
                 first, words = hashed_words(b.column(2))
                 doc = np.repeat(np.arange(b.num_rows), np.diff(first))
                 for n in lengths:
@@ -173,7 +177,7 @@ def _possible(bits: np.ndarray, lengths: list[int]):
 def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The passages of rows (doc_id, text, places array<struct<item, length, at, seed>>)."""
     for batch in batches:
-        for b in text_slices(batch, 1):
+        for b in text_slices(batch, 1, SLICE):
             first, words = hashed_words(b.column(1))
             places = b.column(2)
             fields = places.flatten()
