@@ -6,7 +6,10 @@ import atexit
 import ctypes
 import string
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
@@ -92,8 +95,29 @@ def _clear_scratch() -> None:
             return
 
 
-#: Has the shuffle files of a query removed when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While tables are written: a query's shuffle files go when it ends, and Python gets texts in batches of a few megabytes (64 by default), which lie in both processes.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+_lock, _before, _writers = threading.Lock(), {}, 0
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Those settings, from the first of several writes at a time to the end of the last."""
+    global _writers
+    with _lock:
+        if not _writers:
+            _before.update({k: spark.conf.get(k) for k in _WHILE_WRITING})
+            for k, v in _WHILE_WRITING.items():
+                spark.conf.set(k, v)
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                for k, v in _before.items():
+                    spark.conf.set(k, v)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -103,12 +127,8 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _settings(spark):
         df.write.parquet(path, compression=codec)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
