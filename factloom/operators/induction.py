@@ -108,6 +108,39 @@ def convention_category(names: DataFrame, stem_col: str, fields: int) -> DataFra
     return per.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 
+MIN_VALUES, MAX_RATIO, MIN_LENGTH, MIN_LETTERS = 3, 0.6, 3, 0.5
+#: A shape that software made has a checksum or a long number in it.
+MACHINE_MADE = r"<hex\d+>|<num(?:[6-9]|\d{2,})>"
+
+
+def best_conventions(names: DataFrame, stem_col: str, depths: tuple[int, ...] = (2, 3, 4), at_least: int = MIN_OCCURRENCES) -> DataFrame:
+    """(depth, signature, n, field, groups, concentration): the naming conventions at the depth that explains most names, of equal ones the shallowest.
+
+    A convention is a shape that software makes, shared by enough names, with a field that repeats and looks like a name: of such fields that with the
+    fewest values for its names, the first of equals, if enough names share their value. The shapes of all depths are counted in one
+    pass. A field's letters and mean length are over all its values. Null and empty names count for nothing.
+    """
+    stem = F.col(stem_col)
+    shapes = F.array(*[F.struct(F.lit(d).alias("depth"), signature(stem, d).alias("signature"), name_fields(stem, d).alias("parts")) for d in depths])
+    each = names.where(F.coalesce(stem, F.lit("")) != "").select(F.inline(shapes)).where(F.col("signature").rlike(MACHINE_MADE))
+    fields = each.select("depth", "signature", F.posexplode(F.slice("parts", F.lit(1), F.size("parts") - 1)).alias("field", "part")).groupBy("depth", "signature", "field", F.col("part.text").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    length, letters = F.char_length("value"), F.regexp_count(F.col("value"), F.lit(r"\p{L}"))
+    per = fields.groupBy("depth", "signature", "field").agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("groups"), (F.sum(F.when(F.col("c") >= MIN_OCCURRENCES, F.col("c")).otherwise(0)) / F.sum("c")).alias("concentration"),
+        F.avg(length).alias("_length"), (F.sum(letters) / F.greatest(F.sum(length), F.lit(1))).alias("_letters"), F.min(field_class(F.col("value"))).alias("_class"),
+    )
+    category = (
+        (F.col("n") >= at_least) & F.col("groups").between(MIN_VALUES, F.col("n") - 1) & (F.col("groups") / F.col("n") <= MAX_RATIO)
+        & ~F.col("_class").rlike("^(num|hex)") & (F.col("_length") >= MIN_LENGTH) & (F.col("_letters") >= MIN_LETTERS)
+    )
+    chosen = F.struct(F.col("groups") / F.col("n"), "field", "n", "groups", "concentration")
+    best = per.where(category).groupBy("depth", "signature").agg(F.min(chosen).alias("_b")).select("depth", "signature", "_b.n", "_b.field", "_b.groups", "_b.concentration")
+    conventions = best.where(F.col("concentration") >= MIN_CONCENTRATION)
+    score = conventions.groupBy("depth").agg(F.sum("n").alias("score"))
+    first = score.agg(F.min(F.struct(-F.col("score"), F.col("depth").alias("depth")))["depth"].alias("depth"))  # one row
+    return conventions.join(F.broadcast(first), "depth")
+
+
 def shared_phrases(headings: DataFrame, key: str, heading_col: str, word: str, least_share: float = 0.9, longest: int = 6) -> DataFrame:
     """(phrase, documents): the longest runs of up to six tokens around a word that nearly all headings with it share, three at least."""
     having = headings.select(key, F.split(F.lower(heading_col), r"(?U)\s+").alias("t")).where(F.array_contains("t", word))
