@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.language import glob_pattern
+from factloom.state import cut
+
+
+#: Suffixes that are tried; a name that is taken so often is given up.
+MOST_SUFFIXES = 9_999
 
 
 def resolve_collisions(plan: DataFrame, existing: DataFrame, id_col: str = "id", path_col: str = "destination", order: list[Column] | None = None) -> DataFrame:
     """The plan with ``final``: a destination that is taken, case apart, gets `` (2)``, `` (3)`` and so on before its extension.
 
     The first item by ``order`` (default: id) keeps a free name. Suffixed names that clash with other names are moved on
-    in further rounds; a round without a clash is the last, and each round settles at least the first of every name.
-    ``existing``: (path) that are there already.
+    in further rounds, whose rows are written; a round without a clash is the last, and each round settles at least the first of every name.
+    ``existing``: (path) that are there already. An item beyond the last suffix has a null ``final``.
     """
     rank = order or [F.col(id_col)]
-    base, ext = F.regexp_replace(path_col, r"(\.[^./]{1,10})$", ""), F.regexp_extract(path_col, r"(\.[^./]{1,10})$", 1)
-    taken = existing.select(F.lower("path").alias("_key")).distinct().withColumn("_there", F.lit(1))
-    keyed = plan.withColumn("_key", F.lower(path_col)).join(taken, "_key", "left").withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(*rank)) + F.coalesce("_there", F.lit(0)))
-    final = F.when(F.col("_n") == 1, F.col(path_col)).otherwise(F.concat(base, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext))
-    out = keyed.withColumn("final", final).drop("_key", "_there", "_n")
-    clash = out.withColumn("_key", F.lower("final")).withColumn("_k", F.row_number().over(W.partitionBy("_key").orderBy((F.col("final") != F.col(path_col)), *rank)))
-    there = clash.join(taken.withColumnRenamed("_there", "_t2"), "_key", "left")
-    again = there.where((F.col("_k") > 1) | F.col("_t2").isNotNull())
-    if again.isEmpty():
-        return out
-    settled = there.where((F.col("_k") == 1) & F.col("_t2").isNull()).drop("_key", "_k", "_t2")
-    rest = again.drop("_key", "_k", "_t2", path_col).withColumnRenamed("final", path_col)
-    moved = resolve_collisions(rest, existing.select("path").unionByName(settled.select(F.col("final").alias("path"))), id_col, path_col, order)
-    return settled.drop(path_col).unionByName(moved.drop(path_col))
+    base, ext = F.regexp_replace("_want", r"(\.[^./]{1,10})$", ""), F.regexp_extract("_want", r"(\.[^./]{1,10})$", 1)
+    taken = existing.select(F.lower("path").alias("_key")).distinct()
+    rest, done = plan.withColumn("_want", F.col(path_col)), []
+    while True:
+        there = taken.withColumn("_there", F.lit(1))
+        keyed = rest.withColumn("_key", F.lower("_want")).join(there, "_key", "left").withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(*rank)) + F.coalesce("_there", F.lit(0)))
+        numbered = F.when(F.col("_n") == 1, F.col("_want")).when(F.col("_n") <= MOST_SUFFIXES, F.concat(base, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext))
+        tried = keyed.withColumn("final", numbered).drop("_key", "_there", "_n")
+        first = F.row_number().over(W.partitionBy(F.lower("final")).orderBy(F.col("final") != F.col("_want"), *rank))
+        judged = cut(tried.withColumn("_k", first).withColumn("_key", F.lower("final")).join(there, "_key", "left"))
+        settled = F.col("final").isNull() | ((F.col("_k") == 1) & F.col("_there").isNull())
+        done.append(judged.where(settled).drop("_key", "_k", "_there", "_want"))
+        again = judged.where(~settled)
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        taken = cut(taken.unionByName(judged.where(settled & F.col("final").isNotNull()).select("_key")).distinct())
+        rest = again.select(*plan.columns, F.col("final").alias("_want"))
 
 
 def member_destinations(members: DataFrame, primary_col: str, member_col: str, destination_col: str) -> DataFrame:
@@ -44,8 +53,10 @@ def member_destinations(members: DataFrame, primary_col: str, member_col: str, d
     return members.withColumn("final", F.when(F.col(member_col) == F.col(primary_col), F.col(destination_col)).otherwise(F.concat(folder, F.lit("/"), renamed)))
 
 
+#: Hidden names; this engine's own, beside the fixed ones.
+HIDDEN = (".*",)
 # Names that no plan touches.
-BUILT_IN_IGNORES = (".*", "*.part", "*.crdownload", "*.download", "*.tmp", "~$*", "desktop.ini", "thumbs.db")
+BUILT_IN_IGNORES = ("*.part", "*.crdownload", "*.download", "*.tmp", "~$*", ".DS_Store", "Thumbs.db")
 
 
 def ignored(path: Column, patterns: tuple[str, ...] = BUILT_IN_IGNORES) -> Column:
@@ -70,7 +81,7 @@ def ignored_by_rules(path: Column, lines: list[str]) -> Column:
     return out
 
 
-def skip_reason(path: Column, age_seconds: Column, settle_seconds: float, link: Column | None = None, ignore: tuple[str, ...] = BUILT_IN_IGNORES) -> Column:
+def skip_reason(path: Column, age_seconds: Column, settle_seconds: float, link: Column | None = None, ignore: tuple[str, ...] = HIDDEN + BUILT_IN_IGNORES) -> Column:
     """Why an item isn't planned, null if it is: ignored, a link, or still changing."""
     return F.coalesce(
         F.when(ignored(path, ignore), "ignored"), F.when(link if link is not None else F.lit(False), "symbolic link"), F.when(age_seconds.isNull(), "could not be read"),

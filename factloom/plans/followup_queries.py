@@ -33,18 +33,20 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is there now: a file for each path of every fourth event, as its last event says."""
-    e = _table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    """What is there now: a file for each path whose last event didn't remove it, as errors do."""
+    e = _table(spark, sf_dir, "events")
     path = F.concat(F.lit("/p"), (F.col("event_id") * 5 % 97).cast("string"), F.lit("/u"), (F.col("user_id") % 50).cast("string"))
     k = F.col("k")
-    return e.groupBy(path.alias("path")).agg(F.max("event_id").alias("k")).select("path", (k % 41).alias("size"), F.concat(F.lit("d"), (k % 3).cast("string")).alias("digest"))
+    last = e.groupBy(path.alias("path")).agg(F.max("event_id").alias("k"), F.max_by("event_type", "event_id").alias("_type"))
+    return last.where("_type <> 'error'").select("path", (k % 41).alias("size"), F.concat(F.lit("d"), (k % 3).cast("string")).alias("digest"))
 
 
 _SIGNED = f"""{_MOVES}, signed AS (
     SELECT *, id // 2 AS item, id % 41 AS size, CASE WHEN id % 6 <> 0 THEN 'd' || (id % 4) END AS digest, event_type AS rule FROM moves
 ), files AS (
     SELECT path, k % 41 AS size, 'd' || (k % 3) AS digest FROM (
-        SELECT '/p' || (event_id * 5 % 97) || '/u' || (user_id % 50) AS path, max(event_id) AS k FROM events WHERE event_id % 4 = 0 GROUP BY 1)
+        SELECT '/p' || (event_id * 5 % 97) || '/u' || (user_id % 50) AS path, max(event_id) AS k, arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1)
+    WHERE last_type <> 'error'
 )"""
 _PLACED = """(
     SELECT * FROM signed m WHERE status = 'done' AND undone_at IS NULL AND NOT EXISTS (

@@ -13,6 +13,25 @@ def test_collisions_settle_chained_clashes(spark):
     assert len(set(keys)) == len(rows) and not set(keys) & {"/c/taken.md", "/c/taken (2).md"}
 
 
+def test_collisions_that_need_rounds_equal_a_walk(spark):
+    """Every suffixed name is wanted by another item, too, so numbers move on round after round."""
+    rows = [(k, f"/a/x{' (%d)' % (k % 7) if k % 7 > 1 else ''}.txt") for k in range(60)]
+    there = [("/a/X (3).txt",), ("/a/x (5) (2).txt",)]
+    got = {r.id: r.final for r in plans.resolve_collisions(spark.createDataFrame(rows, "id long, destination string"), spark.createDataFrame(there, "path string")).collect()}
+    finals = [f.lower() for f in got.values()]
+    assert len(got) == len(rows) and len(set(finals)) == len(rows) and not {p.lower() for p, in there} & set(finals)
+    for k, wanted in rows:
+        assert got[k].startswith(wanted[:-4]) and got[k].endswith(".txt")
+    firsts = {w: min(k for k, x in rows if x == w) for _, w in rows}
+    assert all(got[k] == w for w, k in firsts.items() if w != "/a/x (3).txt")
+
+
+def test_a_name_taken_too_often_is_given_up(spark, monkeypatch):
+    monkeypatch.setattr(plans, "MOST_SUFFIXES", 3)
+    got = {r.id: r.final for r in plans.resolve_collisions(spark.createDataFrame([(k, "/x.md") for k in range(5)], "id long, destination string"), spark.createDataFrame([], "path string")).collect()}
+    assert got == {0: "/x.md", 1: "/x (2).md", 2: "/x (3).md", 3: None, 4: None}
+
+
 def test_members_follow_their_primary(spark):
     rows = [("film.mkv", "film.mkv"), ("film.mkv", "film.en.srt"), ("film.mkv", "cover.jpg")]
     df = spark.createDataFrame(rows, "p string, m string").withColumn("d", F.lit("/films/A Film (1999).mkv"))
