@@ -9,8 +9,8 @@ hash, document (largest first) and position, so that a window streams over each
 key and sees its first document first. Keys that hold more than a fixed share of
 all lines, or more than a fixed number, would be one task's work there; they are counted before
 the shuffle instead, and only their totals meet the lines again: broadcast while few, else
-by a join that Spark can split. Positions to drop come back as one bitmap per document, a bit per line,
-cut after the last word with a bit set; documents without any have none.
+by a join that Spark can split. What comes back for each document is a compressed bitmap of the lines to keep:
+words of 64 lines that all stay aren't written, and documents that lose none have no bitmap.
 """
 
 from __future__ import annotations
@@ -107,8 +107,28 @@ def drop_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return listed.select(F.col("_id").alias(id_col), "_row", dense.alias("bitmap"))
 
 
-def _goes(bitmap: Column, i: Column) -> Column:
-    word = F.coalesce(F.get(bitmap, F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
+ALL = -1  # a word of 64 bits that are set
+
+
+def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(id, _row, kept array<struct<word, bits>>): bit p % 64 of word p div 64 is set where line p stays.
+
+    Compressed: words all of whose lines stay are left out, and so are documents that lose no line. Rows as in ``drop_bitmaps``.
+    """
+    bitmaps = drop_bitmaps(df, id_col, text_col, min_chars, min_docs)
+    words = F.transform("bitmap", lambda w, k: F.struct(k.alias("word"), F.bitwise_not(w).alias("bits")))
+    return bitmaps.select(id_col, "_row", F.filter(words, lambda x: x["bits"] != ALL).alias("kept"))
+
+
+def _words_of(kept: Column) -> Column:
+    """The bitmap with all its words up to the last one that is written; beyond it every line stays."""
+    written = F.map_from_entries(kept)
+    return F.transform(F.sequence(F.lit(0), F.element_at(kept, -1)["word"]), lambda k: F.coalesce(F.try_element_at(written, k), F.lit(ALL).cast("long")))
+
+
+def _stays(words: Column, i: Column) -> Column:
+    word = F.coalesce(F.get(words, F.floor(i / 64).cast("int")), F.lit(ALL).cast("long"))
     return F.getbit(word, i % 64) == 1
 
 
@@ -119,14 +139,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns of the input that have these two names are replaced; any other name may occur.
     """
     free = "_" * (1 + max(map(len, df.columns)))  # no column is called so
-    bitmaps = drop_bitmaps(df, id_col, text_col, min_chars, min_docs).select(
-        F.col(id_col).alias(free + "id"), F.col("_row").alias(free + "row"), F.col("bitmap").alias(free)
+    bitmaps = keep_bitmaps(df, id_col, text_col, min_chars, min_docs).select(
+        F.col(id_col).alias(free + "id"), F.col("_row").alias(free + "row"), F.col("kept").alias(free)
     )
     same = (df[id_col] == F.col(free + "id")) & (F.xxhash64(whole_text(text_col)) == F.col(free + "row"))
     joined = df.join(bitmaps.hint("shuffle_hash"), same, "left")
     lines = lines_of(whole_text(text_col))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~_goes(F.col(free), i)), "\n")
-    dropped = F.aggregate(free, F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w))
+    # the words are made once a document, not once a line
+    staying = F.transform(F.array(_words_of(F.col(free))), lambda words: F.filter(lines, lambda _, i: _stays(words, i)))[0]
+    kept = F.array_join(staying, "\n")
+    dropped = F.aggregate(free, F.lit(0).cast("long"), lambda a, w: a + 64 - F.bit_count(w["bits"]))
     return (
         joined.withColumns(
             {

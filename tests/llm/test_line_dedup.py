@@ -64,3 +64,12 @@ def test_bitmaps_are_cut_and_hold_a_bit_per_line(spark):
     rows = [(k, "\n".join(["x"] * 130 + [shared] + ["y"] * 500)) for k in range(3)]
     got = {r.doc_id: r.bitmap for r in line_dedup.drop_bitmaps(spark.createDataFrame(rows, schema)).collect()}
     assert got == {0: [0, 0, 4], 1: [0, 0, 4]}
+
+
+def test_keep_bitmaps_are_compressed(spark):
+    long = "a line that is long enough to count"
+    own = [f"line number {k} of its own, long enough" for k in range(400)]
+    rows = [(1, "\n".join([*own[:200], long, *own[200:], long]), None), (2, long, None), (3, long, None), (4, "\n".join(own[:3]) + " alone", None)]
+    got = {r.doc_id: [tuple(x) for x in r.kept] for r in line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()}
+    clear = lambda p: ~(1 << p) if p < 63 else (1 << 63) - 1
+    assert got == {1: [(200 // 64, clear(200 % 64)), (401 // 64, clear(401 % 64))], 2: [(0, clear(0))]}
