@@ -123,7 +123,7 @@ def heading_terms(headings: DataFrame, key: str, heading_col: str, min_occurrenc
     near the front, a word, and with ``titled`` mostly written with a capital. Fewer than ``min_terms`` of
     them are none. Boilerplate goes (``without_templates``). Null and empty headings don't count; ``key`` tells headings apart.
     """
-    some = headings.where(F.coalesce(F.col(heading_col), F.lit("")) != "").select(F.col(key).alias("document"), F.col(heading_col).alias("heading"))
+    some = cut(headings.select(F.col(key).alias("document"), F.col(heading_col).alias("heading")).where(F.coalesce("heading", F.lit("")) != ""))  # headings are made of texts, once
     total = some.agg(F.count(F.lit(1)).alias("total"))
     least = F.lit(min_occurrences)
     ceiling = F.greatest(least.cast("double"), F.col("total") * max_share)

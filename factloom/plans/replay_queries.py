@@ -94,7 +94,7 @@ def _interrupted(journal: DataFrame) -> DataFrame:
     last = F.col("id") == F.max("id").over(W.partitionBy("f"))
     operation = F.when(F.col("f") % 3 == 0, "copy").otherwise("move")
     open_ = F.when(F.col("f") % 5 == 0, "planned").when(operation == "copy", "copying").otherwise("moving")
-    return journal.withColumns({"operation": operation, "status": F.when(last, open_).otherwise("done"), "dry_run": F.when(F.col("f") % 170 == 0, 1).otherwise(0)})
+    return journal.withColumns({"operation": operation, "status": F.when(last, open_).otherwise("done"), "dry_run": F.when(F.col("f") % 850 == 425, 1).otherwise(0)})
 
 
 def _halfway(journal: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _halfway(journal: DataFrame) -> DataFrame:
 
 
 _CRASH = f"""{_JOURNAL}, crashed AS (
-    SELECT *, CASE WHEN f % 3 = 0 THEN 'copy' ELSE 'move' END AS operation, f % 170 = 0 AS dry_run,
+    SELECT *, CASE WHEN f % 3 = 0 THEN 'copy' ELSE 'move' END AS operation, f % 850 = 425 AS dry_run,
            CASE WHEN id <> max(id) OVER (PARTITION BY f) THEN 'done' WHEN f % 5 = 0 THEN 'planned' WHEN f % 3 = 0 THEN 'copying' ELSE 'moving' END AS status FROM journal
 ), left_over AS (
     SELECT f % 8 AS k, source, destination, digest FROM crashed QUALIFY id = max(id) OVER (PARTITION BY f)
@@ -136,13 +136,13 @@ def reconciled_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconciled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     journal = _journal(spark, sf_dir)
     moves = _interrupted(journal)
-    runs = journal.select(F.col("run_id").alias("id")).distinct().select("id", F.when(F.col("id") % 4 == 0, "completed").otherwise("running").alias("status"))
+    runs = journal.select(F.col("run_id").alias("id")).distinct().select("id", F.when(F.col("id") % 4 == 3, "completed").otherwise("running").alias("status"))
     return replay.reconcile_runs(runs, moves, replay.reconcile(moves, _halfway(journal)))
 
 
 RECONCILED_RUNS_SQL = f"""
 WITH {_CRASH}, after AS (SELECT c.run_id, coalesce(r.status, c.status) AS status FROM crashed c LEFT JOIN reconciled r USING (id))
-SELECT run_id, CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'partial' ELSE 'recovered' END AS status FROM after WHERE run_id % 4 <> 0
+SELECT run_id, CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'partial' ELSE 'recovered' END AS status FROM after WHERE run_id % 4 <> 3
 GROUP BY run_id HAVING count(*) FILTER (WHERE status IN ('planned', 'moving', 'copying')) = 0
 """
 
