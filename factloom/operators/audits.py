@@ -21,18 +21,15 @@ def inside_words(items: DataFrame, rules: RuleSet, at_least: int = AT_LEAST) ->
     asked = [(r.name, leaf.fact, str(leaf.args[0]).lower()) for r in rules.rules for leaf in leaves_of(r.condition) if leaf.op == "contains" and leaf.fact in items.columns]
     if not asked:
         return items.sparkSession.createDataFrame([], "rule string, fact string, word string, inside long, hosts string")
-    parts = []
-    for rule, fact, word in dict.fromkeys(asked):
-        words = F.regexp_extract_all(F.lower(F.col(fact).cast("string")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-        hit = items.where(F.lower(F.col(fact).cast("string")).contains(word)).select(F.lit(rule).alias("rule"), F.lit(fact).alias("fact"), F.lit(word).alias("word"), F.explode(F.array_distinct(words)).alias("host"))
-        parts.append(hit.where(F.col("host").contains(word)))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    counts = found.groupBy("rule", "fact", "word", "host").agg(F.count(F.lit(1)).alias("n"))
+    text = lambda fact: F.lower(F.col(fact).cast("string"))
+    said = items.select(F.inline(F.array(*[F.struct(F.lit(f).alias("fact"), text(f).alias("text")) for f in dict.fromkeys(f for _, f, _ in asked)])))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    hosts = said.select("fact", F.explode(words).alias("host")).groupBy("fact", "host").agg(F.count(F.lit(1)).alias("n"))  # one scan, whatever the words
+    every = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(f).alias("fact"), F.lit(w).alias("word")) for r, f, w in dict.fromkeys(asked)])
+    counts = hosts.select("host", "n", F.inline(F.filter(every, lambda a: (a["fact"] == F.col("fact")) & F.col("host").contains(a["word"]))))
     per = counts.groupBy("rule", "fact", "word").agg(
         F.sum(F.when(F.col("host") == F.col("word"), F.col("n")).otherwise(0)).alias("whole"), F.sum(F.when(F.col("host") != F.col("word"), F.col("n")).otherwise(0)).alias("inside"),
-        F.max_by(F.lit(1), "n").alias("_x"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "host"))), 1, 5).alias("_h"),
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "host"))), 1, 5).alias("_h"),
     )
     return per.where((F.col("whole") == 0) & (F.col("inside") >= at_least)).select("rule", "fact", "word", "inside", F.array_join(F.transform("_h", lambda h: h["host"]), ",").alias("hosts"))
 

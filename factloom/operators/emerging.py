@@ -18,7 +18,7 @@ from factloom.functions.language import compile_condition, facts_of_frame, leave
 from factloom.operators.rules import Rule, RuleSet
 from factloom.operators.terms import CAP, MIN_OCCURRENCES, heading_terms, words_of
 
-#: Rules whose names begin so were learnt from a word; all others were written by someone who knew what the documents are.
+# How the names of rules begin that were learnt from a word; all others were written by someone who knew what the documents are.
 LEARNT = ("what the page calls itself: ", "what these files are called: ")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from factloom.functions.folding import fold, folded
 from factloom.state import cut
 
+# The bars of counting, what a word and an address are, and how often letters and digits change places in a generated token.
 MIN_OCCURRENCES, MIN_TERMS, MAX_SHARE, OWNER_SHARE = 3, 3, 0.6, 0.1
 FRONT, CAP = 3, 40
 #: A word is another's template if at most so much of its documents lack the other; it is no category of its own if it shares so much with two.
