@@ -96,18 +96,18 @@ def _clear_scratch() -> None:
 
 
 #: While tables are written: a query's shuffle files go when it ends, and Python gets texts in batches of a few megabytes (64 by default), which lie in both processes.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
 _lock, _before, _writers = threading.Lock(), {}, 0
 
 
 @contextmanager
-def _settings(spark: SparkSession) -> Iterator[None]:
-    """Those settings, from the first of several writes at a time to the end of the last."""
+def _settings(spark: SparkSession, batch: str) -> Iterator[None]:
+    """Those settings, from the first of several writes at a time to the end of the last; the first one's batches hold for all."""
     global _writers
     with _lock:
         if not _writers:
-            _before.update({k: spark.conf.get(k) for k in _WHILE_WRITING})
-            for k, v in _WHILE_WRITING.items():
+            for k, v in ((_CLEANUP, "true"), (_BATCH, batch)):
+                _before[k] = spark.conf.get(k)
                 spark.conf.set(k, v)
         _writers += 1
     try:
@@ -120,14 +120,15 @@ def _settings(spark: SparkSession) -> Iterator[None]:
                     spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy", batch: str = "4m") -> DataFrame:
     """Write a table in the shared folder and read it back, which cuts its lineage for good.
 
     ``codec`` compresses its files; zstd is worth its time for binary values, of which snappy makes nothing less. What was shuffled for it isn't needed again, as the table is whole, so its files go at once.
+    ``batch`` bounds the Arrow batches that Python functions get; what works on many rows in step wants larger ones.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _settings(spark):
+    with _settings(spark, batch):
         df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ from factloom.llm.common import documents, materialise
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.payload_digests(materialise(flac.texts_to_flac(documents(spark, sf_dir)), "flac-media", "zstd"))
+    return flac.payload_digests(materialise(flac.texts_to_flac(documents(spark, sf_dir)), "flac-media", "zstd", "24m"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH words AS (
-    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, [x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-]+') IF x <> ''] AS w
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, [x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-
+]+') IF x <> ''] AS w
     FROM documents
 ), failing AS (
     SELECT part, doc_id, [
