@@ -230,8 +230,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH words AS (
-    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, [x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-
-]+') IF x <> ''] AS w
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
     FROM documents
 ), failing AS (
     SELECT part, doc_id, [
