@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -339,9 +340,10 @@ class Scorer:
 def isotonic(pairs: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Votes and the rising rates of the label that fit them best, each pool with half an example of either label more."""
     pools: list[list[float]] = []  # lowest vote, highest vote, label sum, number
-    for v, y in sorted(pairs):
-        pools.append([v, v, y, 1])
-        while len(pools) > 1 and (pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3] or pools[-2][1] == pools[-1][0]):
+    for v, same in groupby(sorted(pairs), lambda p: p[0]):  # equal votes are one from the start, whatever their labels' order
+        ys = [y for _, y in same]
+        pools.append([v, v, sum(ys), len(ys)])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
             low, high = pools[-2], pools.pop()
             pools[-1] = [low[0], high[1], low[2] + high[2], low[3] + high[3]]
     x = [v for p in pools for v in p[:2]]

@@ -39,6 +39,23 @@ def test_isotonic_rises_and_fits():
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and 0 < y[0] < 0.5 < y[-1] < 1
 
 
+def test_a_clean_example_among_the_highest_votes_does_not_level_the_fit():
+    """Its equals are pooled with each other, not with all the clean ones below them."""
+    x, y = toxicity.isotonic([(0.0, 0)] * 300 + [(0.2, 0)] * 5 + [(1.0, 1)] * 60 + [(1.0, 0)] * 2)
+    assert np.interp(0.0, x, y) < 0.01 and np.interp(1.0, x, y) == pytest.approx(60.5 / 63)
+    assert np.unique(toxicity.isotonic([(0.5, 0), (0.5, 1)])[1]).tolist() == [0.5]
+
+
+def test_held_out_rows_of_label_1_rank_above_label_0_despite_wrong_labels(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = [(i, " ".join([word() for _ in range(15)] + ["rotter", "scoundrel"] * (i % 4 == 0) + ["fine"])) for i in range(500)]
+    labels = [(i, int(i % 4 == 0 and i not in (4, 8))) for i in range(500)]  # two that look toxic are marked clean
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    bad, good = ([r.score for r in got if (r.doc_id % 4 == 0) == b] for b in (True, False))
+    assert bad and good and min(bad) > max(good)
+
+
 def test_held_out_accuracy_on_a_table(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
