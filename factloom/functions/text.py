@@ -117,8 +117,8 @@ def nearly(a: Column, b: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in the largest unit of 1024 that leaves one whole, with a decimal above bytes."""
+    """Bytes in the largest unit of 1024 that leaves one whole, with a decimal above bytes; a tie goes to the even digit."""
     out = F.concat(F.format_string("%.0f", n.cast("double")), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", F.bround(n / float(1024**k), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out

@@ -113,3 +113,12 @@ def test_conditions_grow_in_proportion_and_rest_on_what_decided(spark):
     assert size(30) < 3.5 * size(10)
     held, on = compile_condition(parse("not (c is set) and (a > 5 or b = x) and a > 9 and c = z"), facts)
     assert tuple(frame.select(held, on).first()) == (False, ["b", "a"])
+
+
+def test_human_sizes_round_ties_to_even(spark):
+    """As the SQL's printf does: 896.25 KB is 896.2 KB, 896.75 KB is 896.8 KB."""
+    sizes = [0, 1023, 1024, 917_760, 1_035_520, 1_045_760, 918_272, (5 << 20) + (1 << 18), (5 << 20) + (3 << 18), (7 << 30) + (1 << 28), (7 << 30) + (3 << 28), 1_048_575, 123_456_789, (3 << 40) + (1 << 38)]
+    units = ((40, "TB"), (30, "GB"), (20, "MB"), (10, "KB"))
+    want = [next((f"{n / (1 << k):.1f} {u}" for k, u in units if n >= 1 << k), f"{n} B") for n in sizes]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long").orderBy("i").select(text.human_size(F.col("n")).alias("s"))
+    assert [r.s for r in got.collect()] == want
